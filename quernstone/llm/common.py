@@ -85,6 +85,14 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -106,4 +114,4 @@ def batches(reader, text: str, limit: int = 2_000_000):
             yield batch.slice(a, b - a)
 
 
-__all__ = ["WORD", "batches", "docs", "drop_table", "filesystem", "map_file", "need", "new_path", "read_file", "shared_folder", "text_or_empty", "write_file", "written"]
+__all__ = ["WORD", "batches", "docs", "drop_table", "filesystem", "fresh", "map_file", "need", "new_path", "read_file", "shared_folder", "text_or_empty", "write_file", "written"]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, need, text_or_empty, written
+from .common import WORD, fresh, need, text_or_empty, written
 from .secrets import row_key
 
 WEIGHTS = (5, 2, 1)
@@ -118,11 +118,11 @@ def mix(
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, whole: each as often as it is taken, with the columns of ``df``."""
+    key, times, copy = (fresh(df, x) for x in ("mix_key", "mix_times", "mix_copy"))
     taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, whole=True, with_key=True, **options)
-    times = taken.where("taken > 0").groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    keyed = df.withColumn("__key", row_key(F.col(id_col), F.col(source_col).cast("string"), text=text_or_empty(text_col))).dropDuplicates(["__key"])
-    joined = keyed.join(times.withColumnRenamed("key", "__key"), "__key")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)
+    count = taken.where("taken > 0").groupBy(F.col("key").alias(key)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(times))
+    keyed = df.withColumn(key, row_key(F.col(id_col), F.col(source_col).cast("string"), text=text_or_empty(text_col))).dropDuplicates([key])
+    return keyed.join(count, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
 
 
 #: What op5 returns, for DuckDB.

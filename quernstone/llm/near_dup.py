@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, need, written
+from .common import batches, fresh, need, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -249,9 +249,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay when each class keeps one: that of its smallest id, once."""
+    name = fresh(df, "kept")
     found = classes(df, id_col, text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias(name)).distinct()
+    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     return rows.dropDuplicates([id_col])
 
 

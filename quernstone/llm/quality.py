@@ -16,6 +16,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -49,14 +50,14 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def _per(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1.0))
+def features(col: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """What rules may bound, from the columns of ``statistics``."""
 
+    def _per(a: str, b: str) -> Column:
+        return col(a) / F.greatest(col(b), F.lit(1.0))
 
-def features() -> dict[str, Column]:
-    """What rules may bound, from the columns of ``statistics``."""
     return {
-        "f_words": F.col("words"),
+        "f_words": col("words"),
         "f_word_length": _per("chars", "words"),
         "f_upper": _per("upper", "chars"),
         "f_digits": _per("digits", "chars"),
@@ -72,7 +73,9 @@ def features() -> dict[str, Column]:
     }
 
 
-FEATURES = list(features())
+FEATURES = [
+    "f_words", "f_word_length", "f_upper", "f_digits", "f_marks", "f_stops", "f_commas", "f_runs", "f_shouts", "f_line_words", "f_line_share", "f_word_share", "f_short_words",
+]
 
 
 def with_features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -90,13 +93,13 @@ class RuleModel:
     intercept: float
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, col: Callable[[str], Column] = F.col) -> Column:
         """The score as an expression over the feature columns."""
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
             test = None
             for feature, above, bound in rule:
-                x = F.col(FEATURES[feature])
+                x = col(FEATURES[feature])
                 one = x > F.lit(float(bound)) if above else x <= F.lit(float(bound))
                 test = one if test is None else test & one
             total = total + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
@@ -244,7 +247,8 @@ def score(df: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str
 def keep(df: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df`` that the model accepts, with the columns of ``df``."""
     need(df, text_col)
-    held = df.select(F.struct(*df.columns).alias("__row"), text_or_empty(text_col).alias("__text"))
-    counted = held.select("__row", *(x.alias(name) for name, x in statistics(F.col("__text")).items()))
-    scored = counted.select("__row", *(x.alias(name) for name, x in features().items())).select("__row", model.column().alias("__score"))
-    return scored.where(F.col("__score") >= threshold).select("__row.*")
+    # bound one after the other inside one expression, so a filter that moves to the scan still reads the text once
+    counts = F.struct(*(x.alias(name) for name, x in statistics(text_or_empty(text_col)).items()))
+    values = F.transform(F.array(counts), lambda c: F.struct(*(x.alias(name) for name, x in features(lambda n: c[n]).items())))
+    score_ = F.transform(values, lambda v: model.column(lambda n: v[n]))
+    return df.where(F.get(score_, F.lit(0)) >= threshold)

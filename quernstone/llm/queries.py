@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, lm, mixing, near_dup, packing, quality, secrets, topk, urls
+from . import bitplanes, iblt, lm, mixing, near_dup, packing, quality, secrets, topk, urls
 from .common import docs
 
 
@@ -53,6 +53,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(docs(spark, sf_dir))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.RuleModel:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.fit(docs(spark, sf_dir), labels.where(~quality.held_out(F.col("doc_id"))))
@@ -63,5 +67,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dup, op3_secrets, op4_token_files, op5_mixing, op6_top_k, op7_lm_score, op8_url_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_dup, op3_secrets, op4_token_files, op5_mixing, op6_top_k, op7_lm_score, op8_url_rules, op9_fingerprints, op10_quality)}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_url_rules": urls.ORACLE_SQL}

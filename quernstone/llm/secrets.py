@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, text_or_empty, written
+from .common import fresh, need, text_or_empty, written
 
 #: The kinds in their order among spans that begin at one place: the pattern, the group with the value, its least length.
 KINDS = {
@@ -134,11 +134,12 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     """``df`` with every live-looking span of its texts replaced; its columns stay the same."""
     need(df, id_col, text_col, owner_col)
     found = scan(df, id_col, text_col, owner_col, **options)
-    live = found.select("key", F.filter("spans", lambda x: x["live"]).alias("__live")).where(F.size("__live") > 0).groupBy("key").agg(F.first("__live").alias("__live"))
+    key, live, new = (fresh(df, x) for x in ("mask_key", "mask_live", "mask_text"))
+    spans = found.select(F.col("key").alias(key), F.filter("spans", lambda x: x["live"]).alias(live)).where(F.size(live) > 0)
+    spans = spans.groupBy(key).agg(F.first(live).alias(live))
     text = text_or_empty(text_col)
     repository = F.col(options.get("repository_col") or id_col).cast("string")
-    keyed = df.withColumn("__key", row_key(F.col(id_col), F.col(owner_col), repository, text=text))
-    joined = keyed.join(live.withColumnRenamed("key", "__key"), "__key", "left")
+    joined = df.withColumn(key, row_key(F.col(id_col), F.col(owner_col), repository, text=text)).join(spans, key, "left")
 
     def step(acc, x):
         gap = F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"])
@@ -147,7 +148,14 @@ def mask(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__live", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
-    new = joined.withColumn("__text", F.when(F.col("__live").isNotNull(), masked).otherwise(F.col(text_col)))
-    columns = [F.col("__text").alias(x) if x == text_col else F.when(F.col("__live").isNotNull(), F.length("__text").cast(df.schema[x].dataType)).otherwise(F.col(x)).alias(x) if x == length_col else F.col(x) for x in df.columns]
-    return new.select(*columns)
+    masked = F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col))))
+    done = joined.withColumn(new, F.when(F.col(live).isNotNull(), masked).otherwise(F.col(text_col)))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col(new).alias(name)
+        if name == length_col:
+            return F.when(F.col(live).isNotNull(), F.length(new).cast(df.schema[name].dataType)).otherwise(F.col(name)).alias(name)
+        return F.col(name)
+
+    return done.select(*(column(x) for x in df.columns))
