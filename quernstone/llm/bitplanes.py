@@ -189,17 +189,17 @@ def write_ids(df: DataFrame, tokenizer: str, path: str | None = None, end_id: in
     def run(reader):
         import uuid
 
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import BatchEncoder
+        from .tokens import encoder as encoder_of
+        from .tokens import with_end
 
-        encoder, end = BatchEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder = encoder_of(tokenizer)
         shard, writer = TaskContext.get().partitionId(), ShardWriter(unit)
         for batch in batches(reader, "text"):
-            for doc, raw in zip(batch.column("id").to_pylist(), encoder.encode([x or "" for x in batch.column("text").to_pylist()])):
-                writer.add(doc, np.frombuffer(raw + end, dtype="<u4"))
+            for doc, ids in zip(batch.column("id").to_pylist(), with_end(*encoder.encode(batch.column("text")), end_id)):
+                writer.add(doc, ids)
         if writer.counts:
             data, uri = writer.finish(), f"{path}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.planes"
             write_file(uri, data)

@@ -42,6 +42,17 @@ def flat(texts) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def hashed_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes."""
+    n = len(data)
+    power, inverse = _power(n + 1)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+    found = (total[ends] - total[starts]) * inverse[starts]
+    return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the number of words of each text."""
     data, offsets = flat(texts)
@@ -54,11 +65,7 @@ def words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[False], solid[:-1]]) & ~edge[:-1]
     after = np.concatenate([solid[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    power, inverse = _power(n + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[_LOWER[data] if lower else data] * power[:n], dtype=np.uint64)])
-    found = (total[ends] - total[starts]) * inverse[starts]
-    found = mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return found, np.diff(np.searchsorted(starts, offsets))
+    return hashed_ranges(_LOWER[data] if lower else data, starts, ends), np.diff(np.searchsorted(starts, offsets))
 
 
 def shingles(found: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:

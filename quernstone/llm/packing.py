@@ -32,18 +32,16 @@ def tokenised(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .tokens import BatchEncoder
+        from .tokens import encoder as encoder_of
+        from .tokens import with_end
 
-        encoder, end, task, before = BatchEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId(), 0
+        encoder, task, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches(reader, "text"):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids, starts, counts = [], [], []
-            for raw in encoder.encode(texts):
-                raw += end
-                starts.append(before)
-                counts.append(len(raw) // 4)
-                before += len(raw) // 4
-                ids.append(_narrow(np.frombuffer(raw, dtype="<u4")))
+            ids, counts = encoder.encode(batch.column("text"))
+            counts = counts + 1
+            starts = before + np.cumsum(counts) - counts
+            before += int(counts.sum())
+            ids = [_narrow(x) for x in with_end(ids, counts - 1, end_id)]
             yield pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int32()), pa.array(starts, pa.int64()), batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["task", "before", "id", "n", "ids"])
 
     need(df, id_col, text_col)

@@ -1,10 +1,15 @@
-"""Token ids from public tokenizer files, one call per batch of texts.
+"""Token ids from public tokenizer files, for whole batches of texts.
 
 The ids are those of ``tokenizers.Tokenizer.encode(text,
 add_special_tokens=False)``.  Natural text repeats its words, so the encoder
-keeps the ids of words it has met and gives only unknown words to the library.
-A text is cut only where the vocabulary's own pre-tokenizer always cuts; any
-text for which that is not certain goes to the library whole.
+cuts a batch of texts into pieces, hashes them all at once, and asks the library
+only for pieces that it has not met.  Cuts lie only where the vocabulary's own
+pre-tokenizer always cuts: around white space, if the vocabulary drops it, and
+before each run of white space, if words carry it.  A new piece of Latin letters
+with marks at its end goes to the library's model as it is, any other piece to
+the whole tokenizer; a text for which the cuts are not certain is one piece.
+
+Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -13,96 +18,148 @@ import re
 
 import numpy as np
 
-#: Words remembered by one worker; the memory is emptied when it is full.
-CACHE_WORDS = 400_000
+from .hashing import _SPACE, flat, hashed_ranges
+
+#: Pieces remembered by one worker; it starts anew beyond that.
+CACHE_PIECES = 2_000_000
+
+#: A piece that pre-tokenizers cut into its letters and its marks; not so with an apostrophe.
+_SIMPLE = re.compile(r"""([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)""")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: visible ones stand for themselves, others for those from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in visible]
+    return {x: chr(x) for x in visible} | {x: chr(256 + k) for k, x in enumerate(others)}
 
 
 class BatchEncoder:
-    """Encode many texts; ``encode(texts)`` gives one little-endian uint32 byte string per text.
+    """``encode(texts)`` gives the ids of an Arrow string array's texts, and how many each has.
 
-    ``kind`` is ``"bytes"`` for byte-level vocabularies whose words carry their
-    leading space, ``"words"`` for vocabularies that drop white space and
-    ``"whole"`` to hand every text to the library uncut.
+    ``kind`` is ``"bytes"`` for byte-level vocabularies whose words carry the
+    white space before them, ``"words"`` for vocabularies that drop white space
+    and ``"whole"`` to hand every text to the library uncut.
     """
 
-    #: White space next to white space, at the end, or other than space and newline.
-    _UNSURE_BYTES = re.compile(r"\s\s|[^\S \n]|\s\Z|<\|")
-    #: Characters which str.split() takes for white space and the pre-tokenizer does not.
-    _UNSURE_WORDS = re.compile("[\x1c-\x1f]|<\\|")
-    #: Unknown words that go to the library as one text.
-    _JOINED = 2000
-
-    def __init__(self, path: str, kind: str | None = None, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, kind: str | None = None, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind or self._kind()
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        if self.kind != "whole":
-            # a separator that is always one token of its own between words
-            self.between = "\n" if self.kind == "bytes" else " | "
-            (self.cut_id,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.cache_pieces = cache_pieces
+        self.characters = _byte_characters()
+        self.marks: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces: their hashes in order, where their ids begin in the store, and how many they are."""
+        self.keys, self.begins, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.store, self.stored = np.empty(1 << 16, np.uint32), 0
 
     def _kind(self) -> str:
         if str(self.tokenizer.pre_tokenizer).startswith("ByteLevel") and self.tokenizer.normalizer is None:
             return "bytes"
         return "words" if str(self.tokenizer.model).find('end_of_word_suffix="</w>"') >= 0 else "whole"
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _words(self, text: str) -> list[str] | None:
-        """The words of a text, or None if the text must stay whole.
+    def _model(self, word: str) -> list[int]:
+        """The ids of what the pre-tokenizer leaves in one piece."""
+        if not word.isascii() or word[0] in " \n":
+            word = word.encode().decode("latin-1").translate(self.characters)
+        return [x.id for x in self.tokenizer.model.tokenize(word)]
 
-        Of a byte-level vocabulary a word is marked by a tab if the text begins
-        with it and by a newline if it follows one; others follow a space.
-        """
-        if self.kind == "bytes":
-            return None if self._UNSURE_BYTES.search(text) else f"\t{text}".replace("\n", " \n").split(" ")
+    def _learn(self, piece: str) -> list[int]:
+        if self.kind == "whole" or not (simple := _SIMPLE.fullmatch(piece)):
+            return self._library(piece)
+        before, letters, marks = simple.groups()
         if self.kind == "words":
-            return None if self._UNSURE_WORDS.search(text) else text.split()
-        return None
-
-    def _learn(self, words: list[str]) -> None:
-        plain = words
+            ids = self._model(letters.lower())
+        elif before == "\n":
+            ids = self._model("\n") + self._model(letters)
+        else:
+            ids = self._model(before + letters)
+        if marks:
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {}
+                self.marks[marks] = self._model(marks)
+            ids = ids + self.marks[marks]
+        return ids
+
+    def _cut(self, data, offsets):
+        """Begins and ends of the pieces, and the number of each text's pieces."""
+        n = len(data)
+        if self.kind == "whole":
+            full = np.diff(offsets) > 0
+            return offsets[:-1][full], offsets[1:][full], full.astype(np.int64)
+        solid = ~_SPACE[data]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[offsets] = True
+        before = np.concatenate([[False], solid[:-1]]) & ~edge[:-1]
         if self.kind == "words":
-            plain = [x for x in words if "|" not in x]
-            odd = [x for x in words if "|" in x]
-            self.cache.update(zip(odd, self._library(odd)))
-        for k in range(0, len(plain), self._JOINED):
-            part = plain[k : k + self._JOINED]
-            said = part if self.kind == "words" else [x[1:] if x[:1] in "\t\n" else f" {x}" for x in part]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(said)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.cut_id).tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("a word holds the separator's token")
-            raw, begin, cut = ids.tobytes(), 0, np.array([self.cut_id], dtype="<u4").tobytes()
-            for word, end in zip(part, ends):
-                own = raw[4 * begin : 4 * end]
-                self.cache[word] = cut + own if self.kind == "bytes" and word[:1] == "\n" else own
-                begin = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.cache_words:
-            self.older, self.cache = self.cache, {}
-        cache, older, cut = self.cache, self.older, [self._words(x) for x in texts]
-        unknown: set[str] = set()
-        for words in cut:
-            if words is not None:
-                unknown.update(words)
-        new = []
-        for x in unknown.difference(cache):
-            if x in older:
-                cache[x] = older[x]
-            else:
-                new.append(x)
-        if new:
-            self._learn(new)
-        whole = [k for k, words in enumerate(cut) if words is None]
-        out = [b"" if words is None else b"".join(map(cache.__getitem__, words)) for words in cut]
-        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
-            out[k] = ids
-        return out
+            after = np.concatenate([solid[1:], [False]]) & ~edge[1:]
+            begins, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+            return begins, ends, np.diff(np.searchsorted(begins, offsets))
+        cut = edge[:-1] | (~solid & before)
+        # white space beyond ASCII, perhaps: such a text stays whole
+        follow = data[1:]
+        odd = ((data[:-1] == 0xC2) & ((follow == 0x85) | (follow == 0xA0))) | ((data[:-1] == 0xE1) & (follow == 0x9A)) | ((data[:-1] == 0xE2) & ((follow == 0x80) | (follow == 0x81))) | ((data[:-1] == 0xE3) & (follow == 0x80))
+        for text in np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1).tolist():
+            cut[offsets[text] + 1 : offsets[text + 1]] = False
+        begins = np.flatnonzero(cut)
+        return begins, np.concatenate([begins[1:], [n]]), np.diff(np.searchsorted(begins, offsets))
+
+    def _remember(self, hashes, pieces: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = self.stored + int(sizes.sum())
+        if end > len(self.store):
+            self.store = np.concatenate([self.store[: self.stored], np.empty(max(end, 2 * len(self.store)) - self.stored, np.uint32)])
+        self.store[self.stored : end] = [x for ids in pieces for x in ids]
+        begins = self.stored + np.cumsum(sizes) - sizes
+        self.stored = end
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.begins, self.sizes = np.insert(self.keys, at, hashes), np.insert(self.begins, at, begins), np.insert(self.sizes, at, sizes)
+
+    def encode(self, texts):
+        if len(self.keys) > self.cache_pieces or self.stored > 16 * self.cache_pieces:
+            self._forget()
+        data, offsets = flat(texts)
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        begins, ends, per_text = self._cut(data, offsets)
+        hashes, first, place = np.unique(hashed_ranges(data, begins, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, hashes)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != hashes) if len(self.keys) else np.arange(len(hashes))
+        if len(new):
+            raw = data.tobytes()
+            self._remember(hashes[new], [self._learn(raw[a:b].decode()) for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())])
+            at = np.searchsorted(self.keys, hashes)
+        sizes = self.sizes[at][place]
+        total = np.cumsum(sizes)
+        n = int(total[-1]) if len(total) else 0
+        ids = self.store[np.repeat(self.begins[at][place] - (total - sizes), sizes) + np.arange(n)]
+        ends_at = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(per_text)])]
+        return ids, np.diff(ends_at)
+
+
+_encoders: dict[str, BatchEncoder] = {}
+
+
+def encoder(path: str) -> BatchEncoder:
+    """This process's encoder for a file; tasks that follow one another in a worker share its memory."""
+    if path not in _encoders:
+        _encoders[path] = BatchEncoder(path)
+    return _encoders[path]
+
+
+def with_end(ids, counts, end_id: int):
+    """The texts' ids one by one, each with the end id."""
+    at = 0
+    for n in counts.tolist():
+        out = np.empty(n + 1, dtype="<u4")
+        out[:n], out[n] = ids[at : at + n], end_id
+        at += n
+        yield out
