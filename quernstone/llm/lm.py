@@ -12,7 +12,7 @@ beside it (for the base score).  The number of slices follows the corpus, so
 every task holds a bounded part of it.
 
 Scoring: while all slices together stay below ``broadcast_bytes`` every worker
-maps them into memory and scores whole texts.  Beyond that, n-grams travel to
+holds them in memory and scores whole texts.  Beyond that, n-grams travel to
 the slices instead: a task loads one slice, answers for the n-grams of its
 range, and joins bring the answers back to the texts.
 
@@ -40,7 +40,7 @@ SHARE = 0.3
 BITS_PER_ENTRY, PROBES = 8, 4
 #: Tokens that one slice's task adds up, about.
 SLICE_TOKENS = 2_000_000
-BROADCAST_BYTES = 1 << 30
+BROADCAST_BYTES = 1 << 29
 END = 0x5851F42D4C957F2D
 
 
@@ -87,48 +87,28 @@ def _slice_of(hashes, slices: int):
     return (hashes >> np.uint64(64 - (slices.bit_length() - 1))).astype(np.int64) if slices > 1 else np.zeros(len(hashes), np.int64)
 
 
-def _places(hashes, level: int, bits: int):
-    """The filter's bits for n-grams at one level, one row per probe."""
+def _place(hashes, level: int, probe: int, bits):
+    """The bit that a probe of n-grams at one level looks at, in a filter of so many bits."""
     import numpy as np
 
     from .hashing import mix
 
-    return [mix(hashes + np.uint64((0xD1B54A32D192ED03 * level + 0x8CB92BA72F3D8DD7 * (k + 1)) % (1 << 64))) % np.uint64(bits) for k in range(PROBES)]
+    return mix(hashes + np.uint64((0xD1B54A32D192ED03 * level + 0x8CB92BA72F3D8DD7 * (probe + 1)) % (1 << 64))) % bits
 
 
-class FilterSlice:
-    """The part of the filter for one range of hashes."""
-
-    def __init__(self, raw):
-        self.raw, self.bits = raw, 8 * len(raw)
-
-    @staticmethod
-    def build(hashes, counts) -> bytes:
-        import numpy as np
-
-        levels = np.frexp(counts.astype(np.float64))[1]
-        bits = max(64, int(levels.sum()) * BITS_PER_ENTRY)
-        bits += -bits % 8
-        flags = np.zeros(bits, np.uint8)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            for place in _places(hashes[levels >= level], level, bits):
-                flags[place.astype(np.int64)] = 1
-        return np.packbits(flags, bitorder="little").tobytes()
-
-    def levels(self, hashes):
-        """The level of each n-gram, 0 if it is not in the filter."""
-        import numpy as np
+def build_filter(hashes, counts) -> bytes:
+    """One slice of the filter: every n-gram at every level up to its own."""
+    import numpy as np
 
-        out = np.zeros(len(hashes), np.int64)
-        live, level = np.arange(len(hashes)), 1
-        while len(live) and level <= 63:
-            held = np.ones(len(live), bool)
-            for place in _places(hashes[live], level, self.bits):
-                held &= (self.raw[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live = live[held]
-            out[live] = level
-            level += 1
-        return out
+    levels = np.frexp(counts.astype(np.float64))[1]
+    bits = max(64, int(levels.sum()) * BITS_PER_ENTRY)
+    bits += -bits % 8
+    flags = np.zeros(bits, np.uint8)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        there = hashes[levels >= level]
+        for probe in range(PROBES):
+            flags[_place(there, level, probe, np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def counts_of(levels):
@@ -188,7 +168,7 @@ def train(df: DataFrame, text_col: str = "text", slice_tokens: int = SLICE_TOKEN
                 hashes, times = hashes[order], times[order]
                 first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
                 rows[size] = hashes[first], np.add.reduceat(times, first) if len(first) else times
-            bits = FilterSlice.build(*(np.concatenate([rows[1][k], rows[2][k]]) for k in (0, 1)))
+            bits = build_filter(*(np.concatenate([rows[1][k], rows[2][k]]) for k in (0, 1)))
             write_file(f"{path}/filter-{s:06d}.bits", bits)
             write_file(f"{path}/words-{s:06d}.u64", rows[1][0].tobytes())
             write_file(f"{path}/counts-{s:06d}.i64", rows[1][1].astype("<i8").tobytes())
@@ -202,50 +182,80 @@ def train(df: DataFrame, text_col: str = "text", slice_tokens: int = SLICE_TOKEN
 
 
 class Slices:
-    """All or some of a model's slices, opened when asked for."""
-
-    def __init__(self, model: Model):
-        self.model, self.open = model, {}
+    """A model's slices: those that are asked for, or all at once, as one array of the filter's bytes."""
 
-    def _slice(self, s: int):
+    def __init__(self, model: Model, all_: bool = False):
         import numpy as np
 
-        if s not in self.open:
-            try:
-                self.open[s] = FilterSlice(map_file(f"{self.model.path}/filter-{s:06d}.bits", np.uint8)), map_file(f"{self.model.path}/words-{s:06d}.u64", np.uint64), map_file(f"{self.model.path}/counts-{s:06d}.i64", np.int64)
-            except FileNotFoundError:
-                self.open[s] = None
-        return self.open[s]
+        self.model, self.words = model, {}
+        self.raw, self.start, self.bits = np.empty(0, np.uint8), np.zeros(model.slices, np.int64), np.zeros(model.slices, np.uint64)
+        if all_:
+            self._load(range(model.slices))
 
-    def _each(self, hashes):
-        """The slices that ascending hashes fall into, with their ranges."""
+    def _load(self, numbers) -> None:
         import numpy as np
 
-        cuts = np.searchsorted(_slice_of(hashes, self.model.slices), np.arange(self.model.slices + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            if (found := self._slice(s)) is not None:
-                yield found, slice(cuts[s], cuts[s + 1])
+        parts, at = [self.raw], len(self.raw)
+        for s in numbers:
+            if s in self.words:
+                continue
+            try:
+                part = map_file(f"{self.model.path}/filter-{s:06d}.bits", np.uint8)
+                self.words[s] = map_file(f"{self.model.path}/words-{s:06d}.u64", np.uint64), map_file(f"{self.model.path}/counts-{s:06d}.i64", np.int64)
+            except FileNotFoundError:  # no token of the corpus falls into this slice
+                self.words[s] = np.empty(0, np.uint64), np.empty(0, np.int64)
+                continue
+            self.start[s], self.bits[s] = at, 8 * len(part)
+            parts.append(part)
+            at += len(part)
+        if len(parts) > 1:
+            self.raw = np.concatenate(parts)
 
     def levels(self, hashes):
+        """The level of each n-gram, 0 if it is not in the filter."""
         import numpy as np
 
+        s = _slice_of(hashes, self.model.slices)
+        self._load(np.unique(s).tolist())
+        start, bits = self.start[s], self.bits[s]
         out = np.zeros(len(hashes), np.int64)
-        for found, part in self._each(hashes):
-            out[part] = found[0].levels(hashes[part])
+        live, level = np.flatnonzero(bits > 0), 1
+        while len(live) and level <= 63:
+            for probe in range(PROBES):
+                place = _place(hashes[live], level, probe, bits[live])
+                held = (self.raw[start[live] + (place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+                live = live[held == 1]
+            out[live] = level
+            level += 1
         return out
 
     def exact(self, hashes):
-        """The exact training counts of words."""
+        """The exact training counts of words; ``hashes`` ascend."""
         import numpy as np
 
+        cuts = np.searchsorted(_slice_of(hashes, self.model.slices), np.arange(self.model.slices + 1))
         out = np.zeros(len(hashes), np.int64)
-        for (_, words, counts), part in self._each(hashes):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            self._load([s])
+            words, counts = self.words[s]
+            part = slice(cuts[s], cuts[s + 1])
             if len(words):
                 at = np.minimum(np.searchsorted(words, hashes[part]), len(words) - 1)
                 out[part] = np.where(words[at] == hashes[part], counts[at], 0)
         return out
 
 
+_held: dict[str, Slices] = {}
+
+
+def all_slices(model: Model) -> Slices:
+    """This process's copy of a model; tasks that follow one another in a worker share it."""
+    if model.path not in _held:
+        _held.clear()
+        _held[model.path] = Slices(model, all_=True)
+    return _held[model.path]
+
+
 def log_probability(model: Model, c_pair, c_history, c_word):
     """log10 of a word's probability after its history, from the filter's counts."""
     import numpy as np
@@ -266,8 +276,8 @@ def _score_mapped(df: DataFrame, model: Model, id_col: str, text_col: str) -> Da
         import numpy as np
         import pyarrow as pa
 
-        slices = Slices(model)
-        for batch in batches(reader, "text", 1_000_000):
+        slices = all_slices(model)
+        for batch in batches(reader, "text", 3_000_000):
             n = len(batch)
             history, word, owner = _tokens(batch.column("text"))
             some, place = np.unique(word, return_inverse=True)
