@@ -196,6 +196,32 @@ def retrieval_scores(ranked: DataFrame) -> DataFrame:
     )
 
 
+def retrieval_misses(ranked: DataFrame, lines: DataFrame) -> DataFrame:
+    """Labelled lines whose item is not the first candidate: what is, and where the item stands (null if nowhere)."""
+    first = ranked.where(F.col("rank") == 1).select("line_id", F.col("item_code").alias("first_code"))
+    place = ranked.where(F.col("item_code") == F.col("gt_item_code")).groupBy("line_id").agg(F.min("rank").alias("gt_rank"))
+    rows = lines.where(positive()).select("line_id", "gt_item_code").join(first, "line_id", "left").join(place, "line_id", "left")
+    return rows.where(~F.col("gt_rank").eqNullSafe(1))
+
+
+def blank_candidates(lexical: DataFrame, lines: DataFrame) -> DataFrame:
+    """For lines without an item: their first two candidates, score and margin."""
+    rows = lexical.join(lines.where(~positive()).select("line_id"), "line_id")
+    second = F.get(F.transform("candidates", lambda x: x["item_code"]), F.lit(1))
+    return rows.select("line_id", "item_code", second.alias("second_code"), "confidence", "margin")
+
+
+def confident_uom_pairs(ranked: DataFrame, lines: DataFrame, reference: DataFrame, least: float = 0.95, gap: float = 0.08) -> DataFrame:
+    """Of lines whose best candidate by text is sure and far ahead: how often an order's unit meets each unit of it."""
+    best = ranked.groupBy("line_id", "tenant").agg(
+        F.max_by("item_code", F.when(F.col("lex_rank") == 1, 1)).alias("item_code"), F.max(F.when(F.col("lex_rank") == 1, F.col("lexical_score"))).alias("one"), F.max(F.when(F.col("lex_rank") == 2, F.col("lexical_score"))).alias("two")
+    )
+    sure = best.where((F.col("one") >= least) & (F.col("one") - F.coalesce("two", F.lit(0.0)) >= gap)).select("line_id", "tenant", "item_code")
+    units = reference.select("tenant", "item_code", F.col("uom").alias("item_uom")).distinct()
+    asked = lines.where(F.trim("uom_text") != "").select("line_id", "uom_text")
+    return sure.join(asked, "line_id").join(units, ["tenant", "item_code"]).groupBy("uom_text", "item_uom").agg(F.count(F.lit(1)).alias("n"))
+
+
 def price_signal(ranked: DataFrame, catalogue: DataFrame) -> DataFrame:
     """How far lines' prices lie from their items': medians and shares, overall and by whether the first candidate is right."""
     first = ranked.where(F.col("rank") == 1).select("line_id", "tenant", "gt_item_code", "unit_price", (F.col("item_code") == F.col("gt_item_code")).alias("right"))

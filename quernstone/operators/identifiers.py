@@ -89,3 +89,23 @@ def superseded(aliases: DataFrame, catalogue: DataFrame) -> DataFrame:
     stale = aliases.select("tenant", F.col("item_code").alias("target"), "customer_id", "customer_sku").join(off, ["tenant", "target"], "left_semi")
     found = with_successor(stale, catalogue)
     return found.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_stale"), F.count_if(F.col("item_code").isNotNull()).alias("n_successor"), F.count_if(F.col("item_code").isNull()).alias("n_none"))
+
+
+def alias_misses(lines: DataFrame, aliases: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """By tenant: lines whose article number does not resolve, how many have a mapping at any date, and how many one of any tenant and customer."""
+    open_ = lines.where(filled("buyer_sku")).join(resolve_alias(lines, aliases, catalogue), "line_id", "left_anti")
+    own = aliases.select("tenant", "customer_id", F.col("customer_sku").alias("buyer_sku"), F.lit(1).alias("own")).distinct()
+    any_ = aliases.select(F.col("customer_sku").alias("buyer_sku"), F.lit(1).alias("any")).distinct()
+    rows = open_.join(own, ["tenant", "customer_id", "buyer_sku"], "left").join(any_, "buyer_sku", "left")
+    return rows.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_unresolved"), F.count("own").alias("n_own"), F.count("any").alias("n_any"))
+
+
+def superseded_quality(lines: DataFrame, aliases: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """By tenant: lines that meet a mapping to a disabled item, whatever its dates; whether a successor is active, and right."""
+    off = catalogue.where(F.col("disabled") == "1").select("tenant", F.col("item_code").alias("target")).distinct()
+    asked = lines.where(filled("buyer_sku")).select("line_id", "tenant", "customer_id", F.col("buyer_sku").alias("customer_sku"), "gt_item_code")
+    met = asked.join(aliases.select("tenant", "customer_id", "customer_sku", F.col("item_code").alias("target")), ["tenant", "customer_id", "customer_sku"]).join(off, ["tenant", "target"], "left_semi")
+    found, got = with_successor(met, catalogue), F.col("item_code")
+    return found.groupBy("tenant").agg(
+        F.count(F.lit(1)).alias("n_met"), F.count(got).alias("n_successor"), F.count_if(got == F.col("gt_item_code")).alias("n_right"), F.count_if(got.isNotNull() & (got != F.col("gt_item_code"))).alias("n_wrong"), F.count_if(got.isNull()).alias("n_none")
+    )

@@ -70,6 +70,12 @@ def p95_aggregate(ledger: Ledger, first: str, last: str) -> DataFrame:
     return events.groupBy("tenant_id", "day").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("p95_latency_ms"))
 
 
+def p95_cross_check(ledger: Ledger, first: str, last: str) -> DataFrame:
+    """Both forms of the percentile side by side."""
+    a, b = p95_window(ledger, first, last).withColumnRenamed("p95_latency_ms", "p95_window"), p95_aggregate(ledger, first, last).withColumnRenamed("p95_latency_ms", "p95_aggregate")
+    return a.join(b, ["tenant_id", "day"], "full").withColumn("equal", F.col("p95_window").eqNullSafe(F.col("p95_aggregate")))
+
+
 def event_items(ledger: Ledger, first: str, last: str) -> DataFrame:
     """Items met by tenant and day, from the day before the window on."""
     return _daily(ledger["match_event"].where(_within(first, last, 1))).select("tenant_id", "day", "item_code").distinct()

@@ -65,6 +65,27 @@ def acknowledged(store: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.withColumns({"remote_version": F.coalesce("a_version", "remote_version"), "dirty": F.col("dirty") & F.col("a_version").isNull()}).drop("a_version")
 
 
+def apply_writes(remote: DataFrame, answered: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a versioned remote side answers to writes (external_id, base_version, key), one for each record.
+
+    A key that it has answered before gets the same version again; a base other
+    than the current version is a conflict; any other write makes a new version,
+    the first for a new record.
+    """
+    now = remote.select("external_id", F.col("version").alias("now"))
+    before = answered.select("key", F.col("version").alias("before"))
+    rows = requests.join(before, "key", "left").join(now, "external_id", "left")
+    same = F.coalesce("base_version", F.lit(0)) == F.coalesce("now", F.lit(0))
+    status = F.when(F.col("before").isNotNull(), "replay").when(same, "ok").otherwise("conflict")
+    version = F.when(F.col("before").isNotNull(), F.col("before")).when(same, F.coalesce("now", F.lit(0)) + 1).otherwise(F.col("now"))
+    return rows.select("external_id", status.alias("status"), version.cast("int").alias("version"))
+
+
+def get(records: DataFrame, external_id: int) -> DataFrame:
+    """A record by its id."""
+    return records.where(F.col("external_id") == external_id)
+
+
 def idempotency_key(external_id: Column, mutation_id: Column) -> Column:
     """The first half of a digest of id and number of edit: equal for retries, different for every edit."""
     document = F.concat(F.lit('{"id": "'), external_id.cast("string"), F.lit('", "mutation_id": '), mutation_id.cast("string"), F.lit("}"))

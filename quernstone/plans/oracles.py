@@ -83,6 +83,7 @@ ORACLES |= {
     "day_event_metrics": _with(_VIEWS, "SELECT * FROM dem"),
     "p95_window": _with(_VIEWS, "SELECT * FROM pm"),
     "p95_percentile_disc": _with(_VIEWS, "SELECT * FROM pm"),
+    "p95_cross_check": _with(_VIEWS, "SELECT tenant_id, day, p95_latency_ms AS p95_window, p95_latency_ms AS p95_aggregate, TRUE AS equal FROM pm"),
     "event_items": _with(_VIEWS, "SELECT * FROM met"),
     "repeat_items_prev_day": _with(_VIEWS, "SELECT * FROM rm"),
     "busiest_tenant_day": _with(_VIEWS, "SELECT n.tenant_id, n.day, max(n.cnt) AS n, max(pm.p95_latency_ms) AS p95_latency_ms FROM numbered n JOIN pm ON pm.tenant_id = n.tenant_id AND pm.day = n.day GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1"),
@@ -100,7 +101,7 @@ ORACLES |= {
 
 #: Days leave as text.
 for _name in ("report_tenant_health", "report_correlated", "report_one_day", "report_one_tenant_one_day", "report_no_repeat", "report_no_accepted", "report_no_disabled", "report_no_candidates",
-              "order_metrics", "channel_event_metrics", "day_event_metrics", "p95_window", "p95_percentile_disc", "event_items", "repeat_items_prev_day", "busiest_tenant_day"):
+              "order_metrics", "channel_event_metrics", "day_event_metrics", "p95_window", "p95_percentile_disc", "p95_cross_check", "event_items", "repeat_items_prev_day", "busiest_tenant_day"):
     ORACLES[_name] = f"SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM ({ORACLES[_name]})"
 
 # -- matcher's views
@@ -218,6 +219,22 @@ ORACLES |= {
     ),
 }
 
+ORACLES |= {
+    "alias_misses": _with(
+        _WIDE,
+        """SELECT l.tenant, count(*) AS n_unresolved, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM alias a WHERE a.tenant = l.tenant AND a.customer_id = l.customer_id AND a.customer_sku = l.buyer_sku)) AS n_own,
+        count(*) FILTER (WHERE EXISTS (SELECT 1 FROM alias a WHERE a.customer_sku = l.buyer_sku)) AS n_any FROM line l WHERE l.buyer_sku <> '' AND NOT EXISTS (SELECT 1 FROM alias_lane x WHERE x.line_id = l.line_id) GROUP BY 1""",
+    ),
+    "superseded_quality": _with(
+        _WIDE | {
+            "met": """SELECT l.tenant, l.gt_item_code, h.item_code FROM line l JOIN alias a ON a.tenant = l.tenant AND a.customer_id = l.customer_id AND a.customer_sku = l.buyer_sku
+                JOIN (SELECT DISTINCT tenant, item_code FROM catalogue WHERE disabled = '1') o ON o.tenant = a.tenant AND o.item_code = a.item_code
+                LEFT JOIN active h ON h.tenant = a.tenant AND a.item_code LIKE '%-OLD' AND h.item_code = regexp_replace(a.item_code, '-OLD$', '')"""
+        },
+        """SELECT tenant, count(*) AS n_met, count(item_code) AS n_successor, count(*) FILTER (WHERE item_code = gt_item_code) AS n_right, count(*) FILTER (WHERE item_code <> gt_item_code) AS n_wrong, count(*) - count(item_code) AS n_none FROM met GROUP BY 1""",
+    ),
+}
+
 # -- similarity: insertions and deletions by a bit-parallel recurrence over the second string's letters
 
 
@@ -395,6 +412,18 @@ ORACLES |= {
         f"""SELECT {_n('rank = 1', 'n_lines')}, {_n('rank = 1 AND item_code = gt_item_code', 'top1')}, {_n('rank <= 5 AND item_code = gt_item_code', 'top5')},
         round(avg(CASE WHEN rank = 1 AND item_code = gt_item_code THEN confidence_score END), 6) AS avg_score_right, round(avg(CASE WHEN rank = 1 AND item_code <> gt_item_code THEN confidence_score END), 6) AS avg_score_wrong FROM ranked WHERE {_POS}""",
     ),
+    "retrieval_misses": _with(
+        RANKED | {"best": "SELECT line_id, item_code AS first_code FROM ranked WHERE rank = 1", "place": "SELECT line_id, CAST(min(rank) AS INTEGER) AS gt_rank FROM ranked WHERE item_code = gt_item_code GROUP BY 1"},
+        f"SELECT l.line_id, l.gt_item_code, b.first_code, p.gt_rank FROM line l LEFT JOIN best b USING (line_id) LEFT JOIN place p USING (line_id) WHERE l.{_POS} AND p.gt_rank IS DISTINCT FROM 1",
+    ),
+    "blank_candidates": _with(RANKED, f"SELECT x.line_id, x.item_code, x.codes[2] AS second_code, round(x.confidence, 6) AS confidence, round(x.margin, 6) AS margin FROM lexical x JOIN line l USING (line_id) WHERE NOT (l.{_POS})"),
+    "uom_confident_pairs": _with(
+        RANKED | {
+            "uoms": "SELECT tenant, item_code, 'pcs' AS uom FROM active UNION ALL SELECT tenant, item_code, CASE row_ord % 2 WHEN 0 THEN 'ctn' ELSE 'box' END FROM active",
+            "tops": "SELECT line_id, max(CASE WHEN lex_rank = 1 THEN item_code END) AS item_code, max(CASE WHEN lex_rank = 1 THEN lex END) AS one, coalesce(max(CASE WHEN lex_rank = 2 THEN lex END), 0.0::DOUBLE) AS two FROM ranked GROUP BY 1",
+        },
+        "SELECT l.uom_text, u.uom AS item_uom, count(*) AS n FROM tops t JOIN line l USING (line_id) JOIN uoms u ON u.tenant = l.tenant AND u.item_code = t.item_code WHERE t.one >= 0.95::DOUBLE AND t.one - t.two >= 0.02::DOUBLE AND l.uom_text <> '' GROUP BY 1, 2",
+    ),
     "price_signal": _with(
         RANKED | {
             "priced": f"SELECT r.item_code = r.gt_item_code AS hit, abs(r.unit_price - c.list_price) / c.list_price AS off FROM ranked r JOIN line l ON l.line_id = r.line_id JOIN catalogue c ON c.tenant = l.tenant AND c.item_code = r.gt_item_code WHERE r.rank = 1 AND r.{_POS} AND r.unit_price > 0 AND c.list_price > 0",
@@ -470,6 +499,9 @@ SYNC = FEED | {
         CASE WHEN external_id % 6 = 0 THEN TIMESTAMP '2024-02-15 00:00:00' ELSE updated_at END AS updated_at_utc, external_id % 3 = 0 AS dirty, CASE WHEN external_id % 3 = 0 THEN 1 ELSE 0 END AS mutation_id FROM seen""",
 }
 _KEEP = "(r.version IS NULL OR (s.external_id IS NOT NULL AND ((NOT s.dirty AND coalesce(s.remote_version = r.version, FALSE)) OR (s.dirty AND s.updated_at_utc > r.updated_at))))"
+_CLASSIFIED = """SELECT s.external_id, CASE WHEN s.remote_version IS NULL AND r.version IS NULL THEN 'create' WHEN s.remote_version IS NULL AND s.event_type = r.event_type AND s.value = r.value THEN 'reconcile_create'
+                WHEN s.remote_version IS NULL THEN 'create_conflict' WHEN s.remote_version = r.version THEN 'update' WHEN s.event_type = r.event_type AND s.value = r.value THEN 'reconcile_update' ELSE 'update_conflict' END AS outcome, r.version AS v
+                FROM store s LEFT JOIN (SELECT * FROM newest WHERE external_id % 20 <> 0) r ON r.external_id = s.external_id WHERE s.dirty"""
 ORACLES |= {
     "sync_pull_page": _with(FEED, "SELECT * FROM feed WHERE updated_at > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 1 MINUTE ORDER BY updated_at, external_id, version LIMIT 50"),
     "sync_pull_latest": _with(SYNC, "SELECT * FROM newest"),
@@ -482,12 +514,21 @@ ORACLES |= {
     ),
     "sync_push_classify": _with(
         SYNC | {
-            "classified": """SELECT s.external_id, CASE WHEN s.remote_version IS NULL AND r.version IS NULL THEN 'create' WHEN s.remote_version IS NULL AND s.event_type = r.event_type AND s.value = r.value THEN 'reconcile_create'
-                WHEN s.remote_version IS NULL THEN 'create_conflict' WHEN s.remote_version = r.version THEN 'update' WHEN s.event_type = r.event_type AND s.value = r.value THEN 'reconcile_update' ELSE 'update_conflict' END AS outcome, r.version AS v
-                FROM store s LEFT JOIN (SELECT * FROM newest WHERE external_id % 20 <> 0) r ON r.external_id = s.external_id WHERE s.dirty"""
+            "classified": _CLASSIFIED
         },
         "SELECT external_id, outcome, CAST(CASE WHEN outcome IN ('create', 'update') THEN coalesce(v, 0) + 1 ELSE v END AS INTEGER) AS version FROM classified",
     ),
+    "sync_acknowledge": _with(
+        SYNC | {"classified": _CLASSIFIED},
+        """SELECT s.external_id, CAST(CASE WHEN c.external_id IS NULL OR c.outcome LIKE '%conflict' THEN s.remote_version WHEN c.outcome IN ('create', 'update') THEN coalesce(c.v, 0) + 1 ELSE c.v END AS INTEGER) AS remote_version,
+        s.dirty AND coalesce(c.outcome LIKE '%conflict', FALSE) AS dirty FROM store s LEFT JOIN classified c USING (external_id)""",
+    ),
+    "erp_apply_writes": _with(
+        SYNC,
+        """SELECT s.external_id, CASE WHEN s.external_id % 9 = 0 THEN 'replay' WHEN coalesce(s.remote_version, 0) = coalesce(r.version, 0) THEN 'ok' ELSE 'conflict' END AS status,
+        CAST(CASE WHEN s.external_id % 9 = 0 THEN 77 WHEN coalesce(s.remote_version, 0) = coalesce(r.version, 0) THEN coalesce(r.version, 0) + 1 ELSE r.version END AS INTEGER) AS version
+        FROM store s LEFT JOIN (SELECT * FROM newest WHERE external_id % 20 <> 0) r USING (external_id) WHERE s.dirty""",
+    ),
     "idempotency_keys": _with(SYNC, """SELECT external_id, substr(sha256('{"id": "' || CAST(external_id AS VARCHAR) || '", "mutation_id": ' || CAST(mutation_id AS VARCHAR) || '}'), 1, 32) AS idempotency_key FROM store WHERE dirty"""),
     "sync_invariants": _with(
         SYNC,

@@ -45,6 +45,7 @@ _ledger_query("channel_event_metrics", lambda x: report.channel_event_metrics(x,
 _ledger_query("day_event_metrics", lambda x: report.day_event_metrics(x, FIRST, LAST))
 _ledger_query("p95_window", lambda x: report.p95_window(x, FIRST, LAST))
 _ledger_query("p95_percentile_disc", lambda x: report.p95_aggregate(x, FIRST, LAST))
+_ledger_query("p95_cross_check", lambda x: report.p95_cross_check(x, FIRST, LAST))
 _ledger_query("event_items", lambda x: report.event_items(x, FIRST, LAST))
 _ledger_query("repeat_items_prev_day", lambda x: report.repeat_items(x, FIRST, LAST))
 _ledger_query("busiest_tenant_day", lambda x: report.busiest_tenant_day(x, FIRST, LAST))
@@ -154,6 +155,18 @@ def alias_cross_tenant_lookalike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identifiers.alias_lookalikes(swapped, models.catalogue(spark, sf_dir))
 
 
+@query
+def alias_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, items, aliases = _wide(spark, sf_dir)
+    return identifiers.alias_misses(lines, aliases, items)
+
+
+@query
+def superseded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, items, aliases = _wide(spark, sf_dir)
+    return identifiers.superseded_quality(lines, aliases, items)
+
+
 # -- matching
 
 
@@ -335,6 +348,21 @@ def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.retrieval_scores(_ranked(spark, sf_dir)))
 
 
+@query
+def retrieval_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.retrieval_misses(_ranked(spark, sf_dir), models.line(spark, sf_dir))
+
+
+@query
+def blank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.blank_candidates(_lexical(spark, sf_dir), models.line(spark, sf_dir)))
+
+
+@query
+def uom_confident_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.confident_uom_pairs(_ranked(spark, sf_dir), models.line(spark, sf_dir), health.uom_reference(_conversions(spark, sf_dir)), gap=0.02)
+
+
 @query
 def price_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.price_signal(_ranked(spark, sf_dir), models.catalogue(spark, sf_dir)), 4)
@@ -441,6 +469,21 @@ def sync_push_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.push_outcomes(models.local_store(spark, sf_dir), _remote(spark, sf_dir))
 
 
+@query
+def sync_acknowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = models.local_store(spark, sf_dir)
+    done = sync.acknowledged(store, sync.push_outcomes(store, _remote(spark, sf_dir)))
+    return done.select("external_id", "remote_version", "dirty")
+
+
+@query
+def erp_apply_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The remote side's answers to all local edits; every ninth record's write has been answered before."""
+    requests = models.local_store(spark, sf_dir).where("dirty").select("external_id", F.col("remote_version").alias("base_version"), sync.idempotency_key(F.col("external_id"), F.col("mutation_id")).alias("key"))
+    answered = requests.where("external_id % 9 = 0").select("key", F.lit(77).alias("version"))
+    return sync.apply_writes(_remote(spark, sf_dir), answered, requests)
+
+
 @query
 def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.local_store(spark, sf_dir).where("dirty").select("external_id", sync.idempotency_key(F.col("external_id"), F.col("mutation_id")).alias("idempotency_key"))

@@ -112,3 +112,8 @@ def write_ledger(ledger: dict[str, DataFrame], path: str) -> None:
             daily.repartition("day", "tenant_id").sortWithinPartitions("day", "tenant_id").write.mode("overwrite").partitionBy("day").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def plan_of(df: DataFrame) -> str:
+    """The physical plan of a relation, as text: what a reader of indexes and query plans looks at here."""
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
