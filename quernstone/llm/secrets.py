@@ -96,7 +96,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     found = written(candidates(df, id_col, text_col, owner_col, repository_col), "secret-candidates")
     some = found.where(F.size("spans") > 0)
     each = some.select("key", F.explode("spans").alias("s")).select("key", "s.*")
-    judged = each.join(ownership(some), "value").withColumn("live", F.col("owners") <= most_owners)
+    # counts are written before they are joined back, so a value that many rows hold can be split
+    judged = each.join(written(ownership(some), "secret-owners"), "value").withColumn("live", F.col("owners") <= most_owners)
     extra = NAMES.index("key")
     judged = judged.where((F.col("kind") != extra) | F.col("live"))
     whole = judged.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("spans"))
