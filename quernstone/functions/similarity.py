@@ -99,6 +99,70 @@ def token_set_ratios(queries: list[list[str]], texts: list[list[str]]) -> np.nda
     return out
 
 
+class TokenBlock:
+    """Texts of one block as matrices of word numbers and lengths, for many queries."""
+
+    def __init__(self, texts: list[str]):
+        self.words = [sorted(set(x.split())) for x in texts]
+        self.numbers: dict[str, int] = {}
+        most = max((len(x) for x in self.words), default=0)
+        self.tokens, self.sizes = np.full((len(texts), most), -1, dtype=np.int32), np.zeros((len(texts), most))
+        for k, found in enumerate(self.words):
+            for j, word in enumerate(found):
+                self.tokens[k, j] = self.numbers.setdefault(word, len(self.numbers))
+                self.sizes[k, j] = len(word)
+        self.n_words = np.array([len(x) for x in self.words], dtype=np.int64)
+
+    def best(self, query: str, limit: int) -> np.ndarray:
+        """Token-set ratios of the query with all texts; -1 for texts that cannot be among the ``limit`` best.
+
+        Common words and lengths give all parts of a ratio but the distance of
+        the rest, which is never less than the difference of its lengths.  So
+        the texts of highest bound are measured first, then those whose bound
+        reaches the limit's score.
+        """
+        asked = sorted(set(query.split()))
+        out = np.zeros(len(self.words))
+        if not asked or not len(out):
+            return out
+        ids = np.array([self.numbers.get(x, -2) for x in asked], dtype=np.int32)
+        sizes = np.array([len(x) for x in asked], dtype=np.float64)
+        hit = self.tokens[:, :, None] == ids[None, None, :]
+        of_text, of_query = hit.any(axis=2), hit.any(axis=1)
+        common = of_query.sum(axis=1)
+        rest_a, rest_b = len(asked) - common, self.n_words - common
+        sect = (self.sizes * of_text).sum(axis=1) + np.maximum(common - 1, 0)
+        la = (sizes * ~of_query).sum(axis=1) + np.maximum(rest_a - 1, 0)
+        lb = (self.sizes * ~of_text).sum(axis=1) + np.maximum(rest_b - 1, 0)
+        out[(common > 0) & ((rest_a == 0) | (rest_b == 0))] = 100.0
+        open_ = (self.n_words > 0) & (rest_a > 0) & (rest_b > 0)
+        sep = (sect > 0).astype(np.float64)
+        total = np.maximum(sect + sep + la + sect + sep + lb, 1.0)
+        with_a = 100.0 - 100.0 * (sep + la) / np.maximum(sect + sect + sep + la, 1.0)
+        with_b = 100.0 - 100.0 * (sep + lb) / np.maximum(sect + sect + sep + lb, 1.0)
+        closed = np.where(sect > 0, np.maximum(with_a, with_b), 0.0)
+        bound = np.maximum(100.0 - 100.0 * np.abs(la - lb) / total, closed)
+        out[open_] = -1.0
+
+        def measure(some: np.ndarray) -> None:
+            if not len(some):
+                return
+            a = [" ".join(w for w, there in zip(asked, of_query[k]) if not there) for k in some]
+            b = [" ".join(w for w, there in zip(self.words[k], of_text[k]) if not there) for k in some]
+            dist = la[some] + lb[some] - 2.0 * lcs_lengths(a, b)
+            plain = 100.0 - 100.0 * dist / total[some]
+            out[some] = np.where(sect[some] > 0, np.maximum(plain, closed[some]), plain)
+
+        waiting = np.flatnonzero(open_)
+        waiting = waiting[np.argsort(-bound[waiting], kind="stable")]
+        first = max(2 * limit, 64)
+        measure(waiting[:first])
+        reached = np.sort(out[out >= 0])[::-1]
+        floor = reached[limit - 1] if len(reached) >= limit else -1.0
+        measure(waiting[first:][bound[waiting[first:]] >= floor])
+        return out
+
+
 def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
     """0 to 100 from insertions and deletions; 100 for two empty strings."""
     total = np.array([len(x) + len(y) for x, y in zip(a, b)], dtype=np.float64)

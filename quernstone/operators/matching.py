@@ -43,15 +43,15 @@ def retrieve(lines: DataFrame, items: DataFrame, limit: int = RETRIEVED, method:
         import numpy as np
         import pyarrow as pa
 
-        from ..functions.similarity import SCORERS
+        from ..functions.similarity import SCORERS, TokenBlock
 
-        score = SCORERS[method]
         for batch in reader:
             for r in batch.to_pylist():
                 found = sorted(r["items"], key=lambda x: (x["_row_ord"], x["item_code"]))
                 names, out = [x[item_text] for x in found], []
+                block = TokenBlock(names) if method == "token_set" else None
                 for q in r["queries"]:
-                    s = score([q["query_text"]] * len(names), names) / 100.0
+                    s = (block.best(q["query_text"], limit) if block else SCORERS[method]([q["query_text"]] * len(names), names)) / 100.0
                     for k in np.argsort(-s, kind="stable")[:limit].tolist():
                         out.append((r["tenant"], q["query_text"], found[k]["item_code"], found[k]["_row_ord"], float(s[k])))
                 if out:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import random
 
 import pytest
 from hypothesis import given, settings
@@ -86,6 +85,16 @@ def test_scorers_are_symmetric_and_bounded():
             assert 0 <= x <= 100
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["bolt", "hex", "m8", "zinc", "plated", "b", "valve", "ball"]), max_size=5).map(" ".join), min_size=1, max_size=200), st.integers(1, 8), st.sampled_from(["hex bolt", "valv ball", "", "zinc", "m8 x bolts hex"]))
+def test_block_finds_the_best(texts, limit, query):
+    want = similarity.SCORERS["token_set"]([query] * len(texts), texts)
+    got = similarity.TokenBlock(texts).best(query, limit)
+    assert (got[got >= 0] == want[got >= 0]).all()
+    order = lambda s: sorted(range(len(texts)), key=lambda k: (-s[k], k))[:limit]
+    assert order(got) == order(want)
+
+
 def test_noise_tags(spark):
     rows = spark.createDataFrame([("pls send a/b  12mm bolts now", "S1", "", "1.0", ""), ("steel angle bar black", "", "", "", ""), ("hi", "", "9", "", "pcs")], "raw string, s string, b string, p string, u string")
     got = rows.select(text.noise_tags(*(F.col(x) for x in ("raw", "s", "b", "p", "u"))).alias("t")).collect()
@@ -102,4 +111,3 @@ def test_generators_are_deterministic(spark):
     ledger = generators.ledger(spark, 200, tenants=5, items=20, days=10)
     assert ledger["order_line"].count() == 200 and ledger["match_event"].count() > 600
     assert ledger["match_event"].join(ledger["order_line"], "line_id", "left_anti").count() == 0
-    random.seed(0)
