@@ -163,13 +163,14 @@ def _blocks(threshold: float, cross: bool):
 def links(df: DataFrame, sketch: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(a, b): links between nodes, enough of them to join all nodes that verified links join."""
     # one id for each node: its text is read again only if the node shares a bucket
-    nodes = sketch.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
+    nodes = written(sketch.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id")), "near-dup-nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(full, "key"), "near-dup-buckets")
+    # counts by key are written before they are joined back, and merged at every size: a join of two scans lets a hot key be split
+    full = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-dup-keys")
+    shared = written(keyed.join(full.hint("merge"), "key"), "near-dup-buckets")
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    centres = shared.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
-    pairs = written(shared.join(centres, "key").select("centre", "node").distinct(), "near-dup-pairs")
+    centres = written(shared.join(score.hint("merge"), "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre")), "near-dup-centres")
+    pairs = written(shared.join(centres.hint("merge"), "key").select("centre", "node").distinct(), "near-dup-pairs")
 
     def read_sets(reader):
         import numpy as np
@@ -187,8 +188,8 @@ def links(df: DataFrame, sketch: DataFrame, id_col: str = "doc_id", text_col: st
     sets = texts.mapInArrow(read_sets, "node binary, shingles binary, signature binary").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
     sets = written(sets, "near-dup-sets")
 
-    groups = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("n_blocks"))
-    placed = written(pairs.join(groups, "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n_blocks")).cast("int")), "near-dup-blocks")
+    groups = written(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("n_blocks")), "near-dup-groups")
+    placed = written(pairs.join(groups.hint("merge"), "centre").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("n_blocks")).cast("int")), "near-dup-blocks")
     # the centre goes to every block of its group
     everywhere = groups.where("n_blocks > 1").select("centre", F.col("centre").alias("node"), "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
     first = placed.select("centre", "node", "n_blocks", "block").unionByName(everywhere).distinct().withColumns({"chunk": F.lit(0), "role": F.lit(0)})
@@ -202,7 +203,7 @@ def links(df: DataFrame, sketch: DataFrame, id_col: str = "doc_id", text_col: st
     far = within.where("far").select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct()
     if far.isEmpty():
         return within.select("a", "b")
-    n_far = far.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("n_chunks"))
+    n_far = written(far.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("n_chunks")), "near-dup-chunks")
     far = written(far.join(n_far, "centre").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(11)), F.col("n_chunks")).cast("int")).join(groups, "centre"), "near-dup-far")
     ones = far.select("centre", "node", "n_blocks", "chunk", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.lit(1).alias("role"))
     others = placed.join(n_far, "centre").select("centre", "node", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"), "block", F.lit(0).alias("role"))
@@ -219,11 +220,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # minima are written before they are joined back, so the node of a large star can be split
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-low")
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(least.hint("merge"), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = written(small, "components")
         # every node points at one root, and no root points on
@@ -242,9 +244,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     found = components(links(df, sketch, id_col, text_col, words, threshold, bands, rows, block))
     counted = sketch.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
     rooted = counted.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows"))
-    of_node = written(rooted.join(named, "root").select("node", "class_id", "class_rows"), "near-dup-classes")
-    return sketch.select("id", "node", "n_shingles").join(of_node, "node").select(F.col("id").alias(id_col), "class_id", "class_rows", "n_shingles")
+    named = written(rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows")), "near-dup-named")
+    of_node = written(rooted.join(named.hint("merge"), "root").select("node", "class_id", "class_rows"), "near-dup-classes")
+    return sketch.select("id", "node", "n_shingles").join(of_node.hint("merge"), "node").select(F.col("id").alias(id_col), "class_id", "class_rows", "n_shingles")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
