@@ -56,7 +56,7 @@ def rows_of(df) -> list[tuple]:
     for row in frame.itertuples(index=False):
         values = []
         for x in row:
-            if x is None or x != x or str(x) in ("NaT", "<NA>"):
+            if x is None or str(x) in ("NaT", "<NA>", "nan"):
                 values.append("null")
             elif hasattr(x, "isoformat"):
                 values.append(x.isoformat()[:19])
