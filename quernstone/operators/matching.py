@@ -18,7 +18,7 @@ from .identifiers import active, arbitrate
 
 RETRIEVED, RANKED = 30, 20
 AUTO_SCORE, AUTO_MARGIN, FLOOR = 0.85, 0.10, 0.70
-ITEM_BLOCK, QUERY_BLOCK = 2048, 256
+ITEM_BLOCK, QUERY_BLOCK = 2048, 64
 
 
 def prepared_items(catalogue: DataFrame) -> DataFrame:
@@ -59,7 +59,9 @@ def retrieve(lines: DataFrame, items: DataFrame, limit: int = RETRIEVED, method:
 
     queries = lines.select("tenant", "query_text").distinct()
     pairs = _blocks(queries, F.col("query_text"), QUERY_BLOCK, ["query_text"], "queries").join(_blocks(items, F.col("item_code"), ITEM_BLOCK, ["item_code", "_row_ord", item_text], "items"), "tenant")
-    found = pairs.repartition("tenant", F.xxhash64("queries"), F.xxhash64("items")).mapInArrow(run, "tenant string, query_text string, item_code string, _row_ord bigint, lexical_score double")
+    # a stated number, as the rows are few and heavy: small partitions must not be put together
+    parts = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pairs.repartition(parts, "tenant", F.xxhash64("queries"), F.xxhash64("items")).mapInArrow(run, "tenant string, query_text string, item_code string, _row_ord bigint, lexical_score double")
     order = Window.partitionBy("tenant", "query_text").orderBy(F.col("lexical_score").desc(), "_row_ord", "item_code")
     return found.withColumn("lex_rank", F.row_number().over(order)).where(F.col("lex_rank") <= limit)
 
