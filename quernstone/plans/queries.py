@@ -73,7 +73,7 @@ def slice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.line(spark, sf_dir, 5).select("line_id", text.normalize_text(F.col("raw_text")).alias("normalized"))
+    return models.line(spark, sf_dir).select("line_id", text.normalize_text(F.col("raw_text")).alias("normalized"))
 
 
 @query
@@ -84,7 +84,7 @@ def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.line(spark, sf_dir, 5).select("line_id", F.array_join(text.extract_numbers(text.normalize_text(F.col("raw_text"))), ",").alias("numbers"))
+    return models.line(spark, sf_dir).select("line_id", F.array_join(text.extract_numbers(text.normalize_text(F.col("raw_text"))), ",").alias("numbers"))
 
 
 @query
@@ -96,7 +96,7 @@ def extract_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def noise_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.line(spark, sf_dir, 5).select("line_id", F.array_join(_tags(), ",").alias("tags"))
+    return models.line(spark, sf_dir).select("line_id", F.array_join(_tags(), ",").alias("tags"))
 
 
 def _tags():
@@ -187,7 +187,7 @@ def token_sort_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _own_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = models.catalogue(spark, sf_dir).select(F.col("item_code").alias("gt_item_code"), text.normalize_text(F.col("item_name")).alias("name_text"))
-    return models.line(spark, sf_dir, 5).select("line_id", "gt_item_code", text.normalize_text(F.col("raw_text")).alias("query_text")).join(items, "gt_item_code")
+    return models.line(spark, sf_dir).select("line_id", "gt_item_code", text.normalize_text(F.col("raw_text")).alias("query_text")).join(items, "gt_item_code")
 
 
 @query
@@ -252,7 +252,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def predictions_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of the predictions with every third row spoilt in one of five ways."""
+    """Violations of the predictions with the row of every 600th order key spoilt in one of five ways."""
     rows = matching.predictions(_decided(spark, sf_dir))
     turn = F.when(F.col("line_id").cast("long") % 600 == 0, (F.expr("cast(line_id AS bigint) div 600") % 5).cast("int"))
     spoilt = rows.select(
@@ -378,7 +378,7 @@ def catalogue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signal_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.signal_availability(models.line(spark, sf_dir, 5))
+    return health.signal_availability(models.line(spark, sf_dir))
 
 
 @query
@@ -389,14 +389,14 @@ def identifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gt_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.missing_targets(models.line(spark, sf_dir, 5), models.catalogue(spark, sf_dir))
+    return health.missing_targets(models.line(spark, sf_dir), models.catalogue(spark, sf_dir))
 
 
 @query
 def foreign_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of lines that ask by the item code of the next part."""
     p = F.regexp_extract("gt_item_code", r"P0*(\d+)", 1).try_cast("long") + 1
-    lines = models.line(spark, sf_dir, 5).withColumn("buyer_sku", F.concat(F.lit("P"), F.lpad(p.cast("string"), 6, "0")))
+    lines = models.line(spark, sf_dir).withColumn("buyer_sku", F.concat(F.lit("P"), F.lpad(p.cast("string"), 6, "0")))
     return health.foreign_skus(lines.where(ev.positive()), models.catalogue(spark, sf_dir))
 
 
@@ -433,7 +433,7 @@ def uom_reference_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def uom_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.uom_pairs(models.line(spark, sf_dir, 5), health.uom_reference(_conversions(spark, sf_dir)))
+    return health.uom_pairs(models.line(spark, sf_dir), health.uom_reference(_conversions(spark, sf_dir)))
 
 
 @query

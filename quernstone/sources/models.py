@@ -88,8 +88,8 @@ def alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.unionByName(stale).unionByName(conflict).drop("p_partkey")
 
 
-def line(spark: SparkSession, sf_dir: str, modulus: int = 200) -> DataFrame:
-    """One order line for each order whose key the modulus divides, in eight ways of writing."""
+def line(spark: SparkSession, sf_dir: str, modulus: int = 1) -> DataFrame:
+    """One order line for each order, in eight ways of writing; with a modulus, only for orders whose key it divides."""
     first = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % modulus == 0).groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size", "p_retailprice")
     orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % modulus == 0).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"))
@@ -125,10 +125,10 @@ def line(spark: SparkSession, sf_dir: str, modulus: int = 200) -> DataFrame:
 
 
 def line_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many lines, each with its article number and barcode: for the identifier lanes."""
-    rows = line(spark, sf_dir, 5)
+    """Every line, each with its article number and barcode: for the identifier lanes."""
+    rows = line(spark, sf_dir)
     # the part behind a line is in its label, or in no label for lines of a brand alone: derive both identifiers anew
-    first = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"))
     both = rows.drop("buyer_sku", "raw_barcode").join(first, F.col("line_id") == F.col("l_orderkey"))
     p = F.col("p")
     return both.withColumns(
