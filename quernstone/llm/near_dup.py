@@ -16,7 +16,10 @@
 Defined results: a null text counts as empty; texts without a word form one
 class; a text of fewer than five words has one shingle of all its words;
 repeated rows stay, each in its text's class; an empty table gives no rows; a
-null id is allowed, and a class is named by its smallest id.
+null id is allowed, and a class is named by its smallest id that is not null.
+Ids that repeat or are null can name several classes alike: ``class_key`` tells
+them apart.  The row that stays of a class is that of the smallest id, then of
+the smallest digest of id and text, so each class keeps one row whatever its ids.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, need, written
+from .common import batches, fresh, need, text_or_empty, written
+from .secrets import row_key
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
@@ -50,8 +54,9 @@ def _node(shingle_set) -> bytes:
     return xxhash.xxh3_128_digest(shingle_set.tobytes())
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, node, n_shingles, bands): the digest of each text's shingle set, and a key for each band."""
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS, with_key: bool = False) -> DataFrame:
+    """(id, node, n_shingles, bands): the digest of each text's shingle set, and a key for each band; also ``key``, a digest of id and text."""
+    extra = ["key"] * with_key
 
     def run(reader):
         import numpy as np
@@ -65,13 +70,14 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
             keys = band_keys(signatures(np.concatenate(sets), counts, None, bands * rows), rows).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, bands, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([_node(x) for x in sets], pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[counts > 0].ravel()))],
-                ["id", "node", "n_shingles", "bands"],
+                [batch.column("id"), pa.array([_node(x) for x in sets], pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[counts > 0].ravel())), *(batch.column(x) for x in extra)],
+                ["id", "node", "n_shingles", "bands", *extra],
             )
 
     need(df, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, node binary, n_shingles int, bands array<bigint>")
+    key = [row_key(F.col(id_col), text=text_or_empty(text_col)).alias(x) for x in extra]
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *key).mapInArrow(run, f"id {kind}, node binary, n_shingles int, bands array<bigint>" + ", key string" * with_key)
 
 
 def _links_in(ids, sets, signature, threshold: float, far: list[int], near: int):
@@ -238,24 +244,31 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``df``: its id, ``class_id`` (smallest id of its class), ``class_rows`` and ``n_shingles``."""
-    sketch = written(sketches(df, id_col, text_col, words, bands, rows), "near-dup-sketch")
+def _rooted(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, with_key: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sketch of ``df``, and (node, low, n, root) of each node, with its first row's ``first`` if keys are asked for."""
+    sketch = written(sketches(df, id_col, text_col, words, bands, rows, with_key), "near-dup-sketch")
     found = components(links(df, sketch, id_col, text_col, words, threshold, bands, rows, block))
-    counted = sketch.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
-    rooted = counted.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")] if with_key else []
+    counted = sketch.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), *first)
+    return sketch, counted.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``df``: its id, ``class_id`` (smallest id of its class), ``class_rows``, ``n_shingles`` and ``class_key`` (no other class has it)."""
+    sketch, rooted = _rooted(df, id_col, text_col, words, threshold, bands, rows, block)
     named = written(rooted.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_rows")), "near-dup-named")
-    of_node = written(rooted.join(named.hint("merge"), "root").select("node", "class_id", "class_rows"), "near-dup-classes")
-    return sketch.select("id", "node", "n_shingles").join(of_node.hint("merge"), "node").select(F.col("id").alias(id_col), "class_id", "class_rows", "n_shingles")
+    of_node = written(rooted.join(named.hint("merge"), "root").select("node", "root", "class_id", "class_rows"), "near-dup-classes")
+    joined = sketch.select("id", "node", "n_shingles").join(of_node.hint("merge"), "node")
+    return joined.select(F.col("id").alias(id_col), "class_id", "class_rows", "n_shingles", F.hex("root").alias("class_key"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay when each class keeps one: that of its smallest id, once."""
-    name = fresh(df, "kept")
-    found = classes(df, id_col, text_col, **options)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias(name)).distinct()
-    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    return rows.dropDuplicates([id_col])
+    key = fresh(df, "kept")
+    _, rooted = _rooted(df, id_col, text_col, with_key=True, **options)
+    kept = written(rooted.groupBy("root").agg(F.min("first")["key"].alias(key)).select(key), "near-dup-kept")
+    rows = df.withColumn(key, row_key(F.col(id_col), text=text_or_empty(text_col))).join(kept, key, "left_semi")
+    return rows.dropDuplicates([key]).select(*df.columns)
 
 
 __all__ = ["classes", "components", "keep_one", "links", "sketches"]

@@ -225,6 +225,22 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert near_dup.classes(twice).count() == 2 and near_dup.keep_one(twice).count() == 1
 
 
+def test_near_duplicates_keep_one_of_each_class_whatever_the_ids(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near, texts = base + " end", ["p q r s t u", "a b c d e f", "g h i j k l", "one two three four five"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, base), (8, texts[0]), (9, near), (9, "x y z x y z"), (None, near)]
+    df = spark.createDataFrame([(k, x, "en", "a", len(x)) for k, x in rows], DOCS)
+    want = classes_by_force(dict(enumerate(x for _, x in rows)))
+    root_of = {x: want[n] for n, (_, x) in enumerate(rows)}
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_one(df).collect()]
+    assert sorted(root_of[x] for _, x in kept) == sorted(set(want.values())) and len(kept) == 6
+    assert set(kept) == {(8, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, base), (9, "x y z x y z")}
+    found = near_dup.classes(df).collect()
+    assert len(found) == len(rows) and sorted(Counter(r.class_key for r in found).values()) == sorted(Counter(want.values()).values())
+    rows_of_class = Counter(r.class_key for r in found)
+    assert all(r.class_rows == rows_of_class[r.class_key] for r in found)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     from quernstone.llm.dart_minhash import signatures
 
