@@ -13,7 +13,8 @@ texts are read once and never move.
 
 Defined results: a null text has size 0 and is never drawn; a null source is a
 source, the last in order; ties in key go by id, then size; repeated rows are
-drawn each for itself; an empty table or one without words takes nothing.
+drawn each for itself, and rows that differ only in other columns share their
+draws evenly; an empty table or one without words takes nothing.
 """
 
 from __future__ import annotations
@@ -118,11 +119,16 @@ def mix(
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, whole: each as often as it is taken, with the columns of ``df``."""
-    key, times, copy = (fresh(df, x) for x in ("mix_key", "mix_times", "mix_copy"))
+    key, times, copy, n, place = (fresh(df, x) for x in ("mix_key", "mix_times", "mix_copy", "mix_rows", "mix_place"))
     taken = mix(df, id_col=id_col, text_col=text_col, source_col=source_col, whole=True, with_key=True, **options)
-    count = taken.where("taken > 0").groupBy(F.col("key").alias(key)).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias(times))
-    keyed = df.withColumn(key, row_key(F.col(id_col), F.col(source_col).cast("string"), text=text_or_empty(text_col))).dropDuplicates([key])
-    return keyed.join(count, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
+    drawn = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
+    count = taken.groupBy(F.col("key").alias(key)).agg(F.sum(drawn).cast("int").alias(times), F.count(F.lit(1)).cast("int").alias(n)).where(F.col(times) > 0)
+    keyed = df.withColumn(key, row_key(F.col(id_col), F.col(source_col).cast("string"), text=text_or_empty(text_col)))
+    # rows of one key may differ in other columns: each gets its share of the draws, the first ones one more where they do not divide
+    order = [F.xxhash64(F.to_json(F.struct(*(F.col(x) for x in df.columns if x != text_col))))]
+    placed = keyed.join(count, key).withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    share = F.expr(f"{times} div {n}").cast("int") + (F.col(place) <= F.col(times) % F.col(n)).cast("int")
+    return placed.withColumn(times, share).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*df.columns)
 
 
 #: What op5 returns, for DuckDB.

@@ -371,6 +371,17 @@ def test_mixed_documents(spark, odd, empty):
     assert all(r.taken == 0 for r in mixing.mix(docs_of(spark, [None, "", " "])).collect())
 
 
+def test_mixed_rows_keep_their_other_columns(spark):
+    kinds = [("en", 1), ("de", 2), ("fr", 3), (None, 4)]
+    rows = [(1, "w " * 10, lang, "a", n) for lang, n in kinds] + [(k, "w " * 7, "en", "b", 7) for k in range(2, 40)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("tags", F.array("lang", F.col("n_chars").cast("string")))
+    for weights in ((1, 1), (1, 20), (30, 1)):
+        drawn = [r.taken // r.size for r in mixing.mix(df, weights=weights, whole=True).where("doc_id = 1").collect()]
+        got = Counter((r.lang, r.n_chars, *r.tags) for r in mixing.mixed(df, weights=weights).where("doc_id = 1").collect())
+        assert set(got) <= {(lang, n, lang, str(n)) for lang, n in kinds}
+        assert sorted(got.values()) == sorted(x for x in drawn if x)
+
+
 # -- top-k
 
 
