@@ -13,8 +13,13 @@ shard, and what it finds there is the score that all other shards start with.
 No pair of a query and a vector leaves a task unless it is among the k best of
 its shard.
 
-Defined results: components become floor(scale * x) and are held to +-2**20, so
-scores are exact; vectors that are null or hold null or non-finite components
+Vectors and queries whose components are too large for exact products of floats
+are compared in whole numbers of any length, by themselves: with all queries and
+all vectors of the shard.  That is slow, and exact.
+
+Defined results: components become floor(scale * x), and scores are exact at
+every size; a score that 64 bits do not hold, among a shard's best, ends the run
+with an error, as the result has no place for it; vectors that are null or hold null or non-finite components
 take no part; a shorter vector counts as filled up with zeros; ties go to the
 smaller id; rows that share a query's id are its own and no candidates of it,
 and a query is asked once for each id (of rows that repeat an id, the smallest
@@ -30,15 +35,14 @@ from .common import need, written
 
 SCALE, K = 64, 20
 SHARD_ROWS, QUERY_ROWS, LEAF = 16_384, 2_048, 128
-BOUND = 1 << 20
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """(id, v): whole-number vectors of the rows that take part."""
-    x = F.transform(F.col(vector_col), lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
+    # a float of 2**53 or more is whole; floor() would hold it to 64 bits
+    x = F.transform(F.transform(F.col(vector_col), lambda e: F.lit(float(scale)) * e.cast("double")), lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y))
     fine = F.col(vector_col).isNotNull() & ~F.coalesce(F.exists(vector_col, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf"))), F.lit(True))
-    held = F.transform(x, lambda e: F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), e)).cast("int"))
-    return df.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), held.alias("v"))
+    return df.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
 
 
 def blobs(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -56,9 +60,11 @@ def blobs(rows: DataFrame, size: int, name: str) -> DataFrame:
         for part, found in held.items():
             found.sort()
             d = max(len(v) for _, v in found)
-            matrix = np.zeros((len(found), d), dtype=np.int32)
+            matrix = np.zeros((len(found), d), dtype=np.float64)
             for k, (_, v) in enumerate(found):
                 matrix[k, : len(v)] = v
+            if not matrix.size or np.abs(matrix).max() < 1 << 31:
+                matrix = matrix.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, len(found), d, np.array([i for i, _ in found], dtype=np.int64).tobytes(), matrix.tobytes())], ["part", "n", "d", "ids", "vectors"])
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts))).repartition(parts, "part")
@@ -108,6 +114,47 @@ class BallTree:
         return dot + norms[q] * self.radii[node] + 1e-6 * (1.0 + np.abs(dot))
 
 
+def _matrix(data: bytes, n: int, d: int):
+    """The rows of ``blobs``: four bytes a component where they suffice, else floats that are whole."""
+    import numpy as np
+
+    return np.frombuffer(data, np.int32 if len(data) == 4 * n * d else np.float64).reshape(n, d)
+
+
+def search_all(vectors, ids, queries, query_ids, floor, k: int = K, leaf: int = LEAF):
+    """``search`` for components of every size; of the vectors or queries that it cannot hold, the k best by whole numbers, whatever their ``floor``."""
+    import heapq
+    from math import isqrt
+
+    import numpy as np
+
+    d = max(1, vectors.shape[1], queries.shape[1])
+    size = 1 << max(1, len(vectors) - 1).bit_length()
+    # a code of score and place stays below 2**62, and so do sums of products below 2**53
+    most = isqrt(min((1 << 61) // size, 1 << 52) // d)
+    large_v, large_q = ((np.abs(x.astype(np.float64)) > most).any(axis=1) for x in (vectors, queries))
+    if not large_v.any() and not large_q.any():
+        return search(vectors, ids, queries, query_ids, floor, k, leaf)
+    small_v, small_q = np.flatnonzero(~large_v), np.flatnonzero(~large_q)
+    who, found, score = [], [], []
+    if len(small_v) and len(small_q):
+        a, b, c = search(vectors[small_v], ids[small_v], queries[small_q], query_ids[small_q], floor[small_q], k, leaf)
+        who, found, score = small_q[a].tolist(), b.tolist(), c.tolist()
+    width = min(vectors.shape[1], queries.shape[1])
+    whole = lambda x: [[int(e) for e in row[:width]] for row in x.tolist()]
+    everything = whole(vectors) if large_q.any() else None
+    few = [(i, v) for i, v in zip(ids[large_v].tolist(), whole(vectors[large_v]))]
+    for n, asked in enumerate(whole(queries)):
+        against = zip(ids.tolist(), everything) if large_q[n] else few
+        best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(asked, v)), i) for i, v in against if i != query_ids[n]))
+        who += [n] * len(best)
+        found += [i for _, i in best]
+        score += [-s for s, _ in best]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in score):
+        raise OverflowError("a score that 64 bits do not hold")
+    return tuple(np.array(x, dtype=np.int64) for x in (who, found, score))
+
+
 def search(vectors, ids, queries, query_ids, floor, k: int = K, leaf: int = LEAF):
     """The k best of one shard for every query: (query's place, id, score); scores below ``floor`` are left out.
 
@@ -173,11 +220,11 @@ def _search_blobs(k: int, leaf: int):
         for batch in reader:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
                 if shard is None or shard[0] != r["part"]:
-                    shard = (r["part"], np.frombuffer(r["vectors"], np.int32).reshape(r["n"], r["d"]), np.frombuffer(r["ids"], np.int64))
-                queries = np.frombuffer(r["q_vectors"], np.int32).reshape(r["q_n"], r["q_d"])
+                    shard = (r["part"], _matrix(r["vectors"], r["n"], r["d"]), np.frombuffer(r["ids"], np.int64))
+                queries = _matrix(r["q_vectors"], r["q_n"], r["q_d"])
                 names = np.frombuffer(r["q_ids"], np.int64)
                 floor = np.frombuffer(r["floor"], np.float64) if r["floor"] is not None else np.full(len(names), -np.inf)
-                who, ids, score = search(shard[1], shard[2], queries, names, floor, k, leaf)
+                who, ids, score = search_all(shard[1], shard[2], queries, names, floor, k, leaf)
                 if len(who):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), r["q_part"])), pa.array(who.astype(np.int64)), pa.array(names[who]), pa.array(ids), pa.array(score), pa.array(np.full(len(who), r["part"]))], ["q_part", "place", "query_id", "vec_id", "score", "part"])
 

@@ -414,6 +414,21 @@ def test_top_k(spark):
     assert topk.top_k(few.unionByName(few), few.where("vec_id = 0")).count() == 4
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(14)
+    vectors = {k: [float(x) for x in rng.normal(0, 0.3, 6)] for k in range(120)}
+    for k in range(0, 120, 7):  # beyond +-2**14, up to scores of more than 53 bits
+        vectors[k] = [float(x) for x in rng.normal(0, 10.0 ** (4 + k % 4), 6)]
+    vectors |= {40: [3e6, 1.0, 0.0, 0.0, 0.0, 0.0], 41: [3e6, 1.0, 0.0, 0.0, 0.0, 1 / 64], 60: [5e6, 1.0, 0.0, 0.0, 0.0, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    want = top_by_force(vectors, [k for k in vectors if k % 20 == 0], 9)
+    for sizes in ({}, {"shard_rows": 30, "query_rows": 4, "leaf": 4}):
+        assert {tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 9, **sizes).collect()} == want
+    beyond = spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(beyond, beyond).collect()
+
+
 def test_top_k_of_the_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     vectors = {r.vec_id: list(r.embedding) for r in rows}
