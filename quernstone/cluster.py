@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,3 +24,19 @@ def ship(spark: SparkSession) -> None:
             out.write(file, str(file.relative_to(package.parent)))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A URI below the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A session on one machine may name none and gets one of its own there; any
+    other has to, as executors do not see each other's folders.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints/{os.environ.get('USER', 'user')}-{os.getpid()}"
+    if "://" not in base and not base.startswith("file:"):
+        base = f"file://{os.path.abspath(base)}"
+    return f"{base.rstrip('/')}/quernstone"

@@ -100,66 +100,93 @@ def token_set_ratios(queries: list[list[str]], texts: list[list[str]]) -> np.nda
 
 
 class TokenBlock:
-    """Texts of one block as matrices of word numbers and lengths, for many queries."""
+    """Texts of one block as bits, to be compared with one query after the other.
+
+    A text is held as its sorted distinct words, each after a space; for each
+    letter of the block one array says where in each text it stands, and one
+    array for each place of a word which bits are its own.  The rest of a text
+    against a query is the text without the words that both have: these words'
+    bits are masked, which changes no state of the recurrence.  So all texts go
+    through it at once, a step for each letter of the query, on whole arrays.
+    Texts of more than 64 bits are compared one by one.
+    """
 
     def __init__(self, texts: list[str]):
         self.words = [sorted(set(x.split())) for x in texts]
+        n, most = len(texts), max((len(x) for x in self.words), default=0)
         self.numbers: dict[str, int] = {}
-        most = max((len(x) for x in self.words), default=0)
-        self.tokens, self.sizes = np.full((len(texts), most), -1, dtype=np.int32), np.zeros((len(texts), most))
+        self.tokens, self.sizes = np.full((most, n), -1, dtype=np.int32), np.zeros(n)
+        self.n_words = np.array([len(x) for x in self.words], dtype=np.int64)
+        self.own, self.space = np.zeros((most, n), dtype=np.uint64), np.zeros((most, n), dtype=np.uint64)
+        self.long = np.array([sum(map(len, x)) + len(x) > 64 for x in self.words], dtype=bool)
+        places: dict[str, np.ndarray] = {}
         for k, found in enumerate(self.words):
+            at = 0
             for j, word in enumerate(found):
-                self.tokens[k, j] = self.numbers.setdefault(word, len(self.numbers))
-                self.sizes[k, j] = len(word)
-        self.n_words = np.array([len(x) for x in self.words], dtype=np.int64)
-
-    def best(self, query: str, limit: int) -> np.ndarray:
-        """Token-set ratios of the query with all texts; -1 for texts that cannot be among the ``limit`` best.
-
-        Common words and lengths give all parts of a ratio but the distance of
-        the rest, which is never less than the difference of its lengths.  So
-        the texts of highest bound are measured first, then those whose bound
-        reaches the limit's score.
-        """
-        asked = sorted(set(query.split()))
-        out = np.zeros(len(self.words))
-        if not asked or not len(out):
-            return out
-        ids = np.array([self.numbers.get(x, -2) for x in asked], dtype=np.int32)
-        sizes = np.array([len(x) for x in asked], dtype=np.float64)
-        hit = self.tokens[:, :, None] == ids[None, None, :]
-        of_text, of_query = hit.any(axis=2), hit.any(axis=1)
-        common = of_query.sum(axis=1)
+                self.tokens[j, k] = self.numbers.setdefault(word, len(self.numbers))
+                if not self.long[k]:
+                    self.own[j, k], self.space[j, k] = ((1 << (len(word) + 1)) - 1) << at, 1 << at
+                    for i, letter in enumerate(f" {word}"):
+                        if letter not in places:
+                            places[letter] = np.zeros(n, dtype=np.uint64)
+                        places[letter][k] |= np.uint64(1 << (at + i))
+                at += len(word) + 1
+            self.sizes[k] = at - len(found)
+        self.places = places
+
+    def ratios(self, query: str) -> np.ndarray:
+        """Token-set ratios of the query with all texts."""
+        asked, n = sorted(set(query.split())), len(self.words)
+        if not asked or not n:
+            return np.zeros(n)
+        everything, nothing = np.uint64(2**64 - 1), np.uint64(0)
+        common, sect_size, bits = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=np.uint64)
+        of_text, theirs = np.zeros(self.tokens.shape, dtype=bool), []
+        for word in asked:
+            number = self.numbers.get(word)
+            if number is None:
+                theirs.append(None)
+                continue
+            hit = self.tokens == number
+            there = hit.any(axis=0)
+            of_text |= hit
+            common += there
+            sect_size += there * float(len(word))
+            theirs.append(there)
+        for own, hit in zip(self.own, of_text):
+            bits |= np.where(hit, nothing, own)
+        # the first word that is left has no space before it
+        if len(self.space):
+            bits &= ~np.take_along_axis(self.space, np.argmin(of_text, axis=0)[None], axis=0)[0]
+        state, first = np.full(n, everything), np.full(n, True)
+        u, rise = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.uint64)
+        for word, there in zip(asked, theirs):
+            mask = bits if there is None else np.where(there, nothing, bits)
+            for letter in f" {word}":
+                where = self.places.get(letter)
+                if where is None:
+                    continue
+                np.bitwise_and(state, where, out=u)
+                np.bitwise_and(u, np.where(first, nothing, mask) if letter == " " else mask, out=u)
+                np.add(state, u, out=rise)
+                np.subtract(state, u, out=state)
+                np.bitwise_or(state, rise, out=state)
+            first &= there if there is not None else False
+        same = np.bitwise_count(~state & bits).astype(np.float64)
         rest_a, rest_b = len(asked) - common, self.n_words - common
-        sect = (self.sizes * of_text).sum(axis=1) + np.maximum(common - 1, 0)
-        la = (sizes * ~of_query).sum(axis=1) + np.maximum(rest_a - 1, 0)
-        lb = (self.sizes * ~of_text).sum(axis=1) + np.maximum(rest_b - 1, 0)
-        out[(common > 0) & ((rest_a == 0) | (rest_b == 0))] = 100.0
-        open_ = (self.n_words > 0) & (rest_a > 0) & (rest_b > 0)
+        sect = sect_size + np.maximum(common - 1, 0)
+        la = sum(map(len, asked)) - sect_size + np.maximum(rest_a - 1, 0)
+        lb = self.sizes - sect_size + np.maximum(rest_b - 1, 0)
         sep = (sect > 0).astype(np.float64)
-        total = np.maximum(sect + sep + la + sect + sep + lb, 1.0)
+        plain = 100.0 - 100.0 * (la + lb - 2.0 * same) / np.maximum(sect + sep + la + sect + sep + lb, 1.0)
         with_a = 100.0 - 100.0 * (sep + la) / np.maximum(sect + sect + sep + la, 1.0)
         with_b = 100.0 - 100.0 * (sep + lb) / np.maximum(sect + sect + sep + lb, 1.0)
-        closed = np.where(sect > 0, np.maximum(with_a, with_b), 0.0)
-        bound = np.maximum(100.0 - 100.0 * np.abs(la - lb) / total, closed)
-        out[open_] = -1.0
-
-        def measure(some: np.ndarray) -> None:
-            if not len(some):
-                return
-            a = [" ".join(w for w, there in zip(asked, of_query[k]) if not there) for k in some]
-            b = [" ".join(w for w, there in zip(self.words[k], of_text[k]) if not there) for k in some]
-            dist = la[some] + lb[some] - 2.0 * lcs_lengths(a, b)
-            plain = 100.0 - 100.0 * dist / total[some]
-            out[some] = np.where(sect[some] > 0, np.maximum(plain, closed[some]), plain)
-
-        waiting = np.flatnonzero(open_)
-        waiting = waiting[np.argsort(-bound[waiting], kind="stable")]
-        first = max(2 * limit, 64)
-        measure(waiting[:first])
-        reached = np.sort(out[out >= 0])[::-1]
-        floor = reached[limit - 1] if len(reached) >= limit else -1.0
-        measure(waiting[first:][bound[waiting[first:]] >= floor])
+        out = np.where(sect > 0, np.maximum(plain, np.maximum(with_a, with_b)), plain)
+        out[(common > 0) & ((rest_a == 0) | (rest_b == 0))] = 100.0
+        out[self.n_words == 0] = 0.0
+        long = np.flatnonzero(self.long)
+        if len(long):
+            out[long] = token_set_ratios([asked] * len(long), [self.words[k] for k in long])
         return out
 
 

@@ -7,17 +7,14 @@ origin.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Quote marks that stand for inches, words that carry no meaning, and words with one meaning.
 INCH = "(?:''|\"|”)"
 LEADING = "item|product|order|qty"
 FILLERS = "please|pls|need|urgent|send"
+CHATTER = "pls|please|urgent|need|send|thanks|bro"
 SYNONYMS = (("zp", "zinc plated"), ("ss304", "stainless 304"), ("ss316", "stainless 316"), ("putih", "white"))
 FRACTION = "<FRAC>"
 VARIANTS = ("flap", "cutting", "grinding")
@@ -29,8 +26,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility form; texts of ASCII alone are in it already.
+
+    Spark has no function for it, but carries the library that its collations use.
+    """
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
+
+
 def normalize_text(c: Column) -> Column:
-    c = F.lower(F.coalesce(c, F.lit("")))
+    c = F.lower(nfkc(F.coalesce(c, F.lit(""))))
     c = F.regexp_replace(c, rf"(?U)(\d+)\s*/\s*(\d+)\s*{INCH}", f"$1{FRACTION}$2in")
     c = F.regexp_replace(c, rf"(?U){INCH}\s*(\d+(?:\.\d+)?)\s*(?=[a-z])", "$1in ")
     c = F.regexp_replace(c, rf"(?U)(\d+(?:\.\d+)?)\s*{INCH}", "$1in")
@@ -44,20 +50,6 @@ def normalize_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode's compatibility form; Spark has no function for it."""
-    import unicodedata
-
-    for part in parts:
-        yield part.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
-
-
-def normalized(df: DataFrame, column: str, to: str) -> DataFrame:
-    """``df`` with a normalised text; texts beyond ASCII go through the compatibility form first."""
-    return df.withColumn(to, normalize_text(nfkc(F.col(column))))
-
-
 def tokens(c: Column) -> Column:
     """The distinct words of a normalised text, in order."""
     return F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda x: x != "")))
@@ -91,7 +83,7 @@ def noise_tags(raw: Column, buyer_sku: Column, barcode: Column, price: Column, u
 
     tests = {
         "short_text": F.size(F.regexp_extract_all(raw, F.lit(r"(?U)\w+"), F.lit(0))) <= 3,
-        "conversational_noise": low.rlike(rf"(?U)\b(?:{FILLERS})\b"),
+        "conversational_noise": low.rlike(rf"(?U)\b(?:{CHATTER})\b"),
         "separator_noise": raw.rlike(r"[/_|]"),
         "spacing_noise": raw.rlike(r"(?U)\s{2,}"),
         "numeric_attributes": raw.rlike(r"(?U)\d"),

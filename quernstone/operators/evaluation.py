@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 STRONG = ("barcode", "alias", "barcode+alias")
 # The grids and costs of the reports.
-SWEEP_SCORES, SWEEP_MARGINS = (0.75, 0.80, 0.85, 0.875, 0.90, 0.925), (0.00, 0.03, 0.05, 0.10, 0.15)
+SWEEP_SCORES, SWEEP_MARGINS = (0.85, 0.90, 0.925, 0.95, 0.97, 0.98), (0.00, 0.01, 0.03, 0.05, 0.10)
 SCORE_BOUNDS = (0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90)
-BANDS = (("very_high", 0.95, 0.15), ("high", 0.90, 0.10), ("auto", 0.85, 0.10), ("likely", 0.80, 0.05), ("floor", 0.70, 0.00))
+BANDS = ((0.95, 0.10), (0.90, 0.10), (0.85, 0.10), (0.85, 0.05), (0.85, 0.03))
 COST_CORRECT, COST_ABSTAIN, COST_WRONG = -20, 40, 800
 
 
@@ -124,10 +124,10 @@ def score_distribution(lexical: DataFrame, lines: DataFrame) -> DataFrame:
 
 def blank_bands(lexical: DataFrame, lines: DataFrame) -> DataFrame:
     """Blank lines that reach each band of score and margin together, or the margin alone."""
-    grid = lines.sparkSession.createDataFrame(list(BANDS), "band string, low_score double, low_margin double")
+    grid = lines.sparkSession.createDataFrame(list(BANDS), "low_score double, low_margin double")
     rows = lexical.join(lines.where(~positive()).select("line_id"), "line_id").join(F.broadcast(grid))
     wide = F.col("margin") >= F.col("low_margin")
-    return rows.groupBy("band").agg(F.count_if(wide & (F.col("confidence") >= F.col("low_score"))).alias("n_band"), F.count_if(wide).alias("n_margin"))
+    return rows.groupBy("low_score", "low_margin").agg(F.count_if(wide & (F.col("confidence") >= F.col("low_score"))).alias("n_band"), F.count_if(wide).alias("n_margin"))
 
 
 def rank_buckets(ranked: DataFrame, lines: DataFrame) -> DataFrame:
@@ -211,6 +211,30 @@ def blank_candidates(lexical: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("line_id", "item_code", second.alias("second_code"), "confidence", "margin")
 
 
+def blank_examples(lexical: DataFrame, lines: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` lines without an item whose score, then margin, is lowest."""
+    rows = lexical.join(lines.where(~positive()).select("line_id", "raw_text"), "line_id")
+    return rows.orderBy("confidence", "margin", "line_id").limit(n).select("line_id", "raw_text", "confidence", "margin")
+
+
+def failure_drilldown(ranked: DataFrame, catalogue: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` candidates of labelled lines whose item is not the first of them, beside the label's own item."""
+    named = catalogue.select("tenant", "item_code", "item_name", "list_price")
+    right = named.select("tenant", F.col("item_code").alias("gt_item_code"), F.col("item_name").alias("gt_name"), F.col("list_price").alias("gt_price"))
+    wrong = ranked.where(positive() & (F.col("rank") == 1) & (F.col("item_code") != F.col("gt_item_code"))).select("line_id")
+    rows = ranked.where(F.col("rank") <= n).join(wrong, "line_id").drop("list_price").join(named, ["tenant", "item_code"]).join(right, ["tenant", "gt_item_code"], "left")
+    return rows.select("line_id", "raw_text", "gt_item_code", "gt_name", "gt_price", "rank", "item_code", "item_name", "list_price", "lexical_score", "rank_score")
+
+
+def price_examples(ranked: DataFrame, gap: float = 0.10) -> DataFrame:
+    """Wrong firsts whose price is further from the line's than the right candidate's, by more than ``gap``."""
+    price = F.col("unit_price").try_cast("double")
+    rows = ranked.where(positive() & (price > 0) & (F.col("list_price") > 0)).withColumn("off", F.abs(price - F.col("list_price")) / F.col("list_price"))
+    first = rows.where((F.col("rank") == 1) & (F.col("item_code") != F.col("gt_item_code"))).select("line_id", F.col("item_code").alias("first_code"), F.col("off").alias("first_off"))
+    right = rows.where(F.col("item_code") == F.col("gt_item_code")).select("line_id", "gt_item_code", F.col("off").alias("gt_off"))
+    return first.join(right, "line_id").where(F.col("gt_off") + gap < F.col("first_off")).select("line_id", "first_code", "gt_item_code", "first_off", "gt_off")
+
+
 def confident_uom_pairs(ranked: DataFrame, lines: DataFrame, reference: DataFrame, least: float = 0.95, gap: float = 0.08) -> DataFrame:
     """Of lines whose best candidate by text is sure and far ahead: how often an order's unit meets each unit of it."""
     best = ranked.groupBy("line_id", "tenant").agg(

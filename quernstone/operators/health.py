@@ -11,12 +11,18 @@ from .identifiers import active, filled, resolve_alias, resolve_barcode
 
 
 def catalogue_health(catalogue: DataFrame, aliases: DataFrame, today: str) -> DataFrame:
-    """Counts by tenant: items, disabled ones, blank barcodes, repeated codes, mappings and expired mappings."""
+    """Counts by tenant: items, disabled ones, blank barcodes, repeated codes, active ones out of stock, mappings, expired ones and uncertain ones."""
+
+    def number(c: str):
+        return F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))
+
+    out_of_stock = (F.col("disabled") == "0") & (number("available_qty") == 0)
     items = catalogue.groupBy("tenant").agg(
-        F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("disabled") == "1").alias("n_disabled"), F.count_if(~filled("barcode")).alias("n_no_barcode"), F.count_if(F.col("item_code").endswith("-OLD")).alias("n_superseded"), F.count_distinct("item_code").alias("n_codes")
+        F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("disabled") == "1").alias("n_disabled"), F.count_if(~filled("barcode")).alias("n_no_barcode"), F.count_if(F.col("item_code").endswith("-OLD")).alias("n_superseded"), F.count_distinct("item_code").alias("n_codes"),
+        F.count_if(out_of_stock).alias("n_zero_stock"),
     )
-    maps = aliases.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_mappings"), F.count_if((F.col("valid_to") != "") & (F.col("valid_to") < today)).alias("n_expired"))
-    return items.join(maps, "tenant", "left").select("tenant", "n_items", "n_disabled", "n_no_barcode", "n_superseded", (F.col("n_items") - F.col("n_codes")).alias("n_repeated"), F.coalesce("n_mappings", F.lit(0)).alias("n_mappings"), F.coalesce("n_expired", F.lit(0)).alias("n_expired"))
+    maps = aliases.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_mappings"), F.count_if((F.col("valid_to") != "") & (F.col("valid_to") < today)).alias("n_expired"), F.count_if(number("confidence") < 1).alias("n_low_confidence"))
+    return items.join(maps, "tenant", "left").select("tenant", "n_items", "n_disabled", "n_no_barcode", "n_superseded", (F.col("n_items") - F.col("n_codes")).alias("n_repeated"), "n_zero_stock", F.coalesce("n_mappings", F.lit(0)).alias("n_mappings"), F.coalesce("n_expired", F.lit(0)).alias("n_expired"), F.coalesce("n_low_confidence", F.lit(0)).alias("n_low_confidence"))
 
 
 def frequencies(df: DataFrame, *columns: str) -> DataFrame:
@@ -64,6 +70,14 @@ def bulk_twins(catalogue: DataFrame) -> DataFrame:
     return items.where("bulk").select("tenant", "item_code", text.without_bulk(F.col("item_name")).alias("base")).join(plain, ["tenant", "base"], "left").select("tenant", "item_code", "base_code")
 
 
+def bulk_labels(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """One row: labels that are plain items, that are bulk items, and bulk ones whose line does not say so."""
+    items = active(catalogue).select("tenant", F.col("item_code").alias("gt_item_code"), text.is_bulk(F.col("item_name")).alias("bulk"))
+    said = F.array_contains(F.split(text.normalize_text(F.col("raw_text")), " "), "bulk")
+    rows = lines.where(filled("gt_item_code")).withColumn("said", said).join(items, ["tenant", "gt_item_code"])
+    return rows.agg(F.count_if(~F.col("bulk")).alias("n_base"), F.count_if("bulk").alias("n_bulk"), F.count_if(F.col("bulk") & ~F.col("said")).alias("n_bulk_unsaid"))
+
+
 def uom_reference(items: DataFrame) -> DataFrame:
     """(tenant, item_code, uom, conversion_factor, is_stock_uom) from the conversions' JSON."""
     each = items.select("tenant", "item_code", "stock_uom", F.explode(F.from_json("uom_conversions", UOM_CONVERSIONS)).alias("c"))

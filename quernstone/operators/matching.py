@@ -1,11 +1,11 @@
 """Fuzzy candidates, structured reranking and the three-way decision.
 
-Every line is compared with every active item of its tenant, so the result is
-exact.  Items and queries travel in blocks: a tenant's items are dealt into
-blocks of bounded size, its distinct queries too, and a task compares one block
-with the other.  Only a block's best candidates leave the task, so the rows in
-flight grow with queries and blocks, not with pairs; a large tenant's work
-spreads over its blocks.
+Every distinct text of a tenant's lines is compared with every active item of the
+tenant, so the result is exact.  A tenant's items are dealt into blocks of
+bounded size and its distinct texts into chunks.  A task holds one block at a
+time, in matrices built once, and the texts of a chunk stream past it.  Only a
+text's best candidates leave the task: an item crosses the network once for each
+chunk, a text once for each block, and a large tenant's work spreads over both.
 """
 
 from __future__ import annotations
@@ -18,26 +18,27 @@ from .identifiers import active, arbitrate
 
 RETRIEVED, RANKED = 30, 20
 AUTO_SCORE, AUTO_MARGIN, FLOOR = 0.85, 0.10, 0.70
-ITEM_BLOCK, QUERY_BLOCK = 2048, 64
+ITEM_BLOCK, QUERY_CHUNK = 8192, 1024
 
 
 def prepared_items(catalogue: DataFrame) -> DataFrame:
     """Active items with their normalised name, search text, numbers and variant."""
     items = active(catalogue).withColumn("name_text", text.normalize_text(F.col("item_name"))).withColumn(
-        "search_text", text.normalize_text(F.concat_ws("  ", "item_name", "brand"))
+        "search_text", text.normalize_text(F.concat_ws(" ", *(x for x in ("item_name", "description", "brand") if x in catalogue.columns)))
     )
     return items.withColumns({"brand_text": text.normalize_text(F.col("brand")), "item_numbers": text.extract_numbers(F.col("search_text")), "item_variant": text.extract_variant(F.col("search_text"))})
 
 
-def _blocks(df: DataFrame, key: Column, size: int, columns: list[str], name: str) -> DataFrame:
-    """One row for each tenant and block, with the block's rows as an array of bounded size."""
-    counts = df.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias("n"))
-    dealt = df.join(counts, "tenant").withColumn("block", F.pmod(F.xxhash64(key), F.col("n")))
-    return dealt.groupBy("tenant", "block").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block")
+def _parts(df: DataFrame, size: int, name: str) -> DataFrame:
+    """(tenant, n): the number of parts of about ``size`` rows that each tenant's rows make."""
+    return df.groupBy("tenant").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(name))
 
 
 def retrieve(lines: DataFrame, items: DataFrame, limit: int = RETRIEVED, method: str = "token_set", item_text: str = "name_text") -> DataFrame:
-    """query_text, tenant, item_code, _row_ord, lexical_score, lex_rank: each distinct query's best items; ties keep the catalogue's order."""
+    """query_text, tenant, item_code, _row_ord, lexical_score, lex_rank: each distinct text's best items; ties keep the catalogue's order.
+
+    A line without any text has no candidates.
+    """
 
     def run(reader):
         import numpy as np
@@ -45,23 +46,34 @@ def retrieve(lines: DataFrame, items: DataFrame, limit: int = RETRIEVED, method:
 
         from ..functions.similarity import SCORERS, TokenBlock
 
+        key, items_in, block = None, [], None
         for batch in reader:
-            for r in batch.to_pylist():
-                found = sorted(r["items"], key=lambda x: (x["_row_ord"], x["item_code"]))
-                names, out = [x[item_text] for x in found], []
-                block = TokenBlock(names) if method == "token_set" else None
-                for q in r["queries"]:
-                    s = (block.best(q["query_text"], limit) if block else SCORERS[method]([q["query_text"]] * len(names), names)) / 100.0
+            out = []
+            for tenant, part, chunk, item, code, place, words in zip(*(batch.column(x).to_pylist() for x in names)):
+                if (tenant, part, chunk) != key:
+                    key, items_in, block = (tenant, part, chunk), [], None
+                if item:
+                    items_in.append((code, place, words))
+                elif items_in:
+                    if block is None:
+                        block = TokenBlock([x[2] for x in items_in]) if method == "token_set" else [x[2] for x in items_in]
+                    s = (block.ratios(words) if method == "token_set" else SCORERS[method]([words] * len(block), block)) / 100.0
                     for k in np.argsort(-s, kind="stable")[:limit].tolist():
-                        out.append((r["tenant"], q["query_text"], found[k]["item_code"], found[k]["_row_ord"], float(s[k])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["tenant", "query_text", "item_code", "_row_ord", "lexical_score"])
-
-    queries = lines.select("tenant", "query_text").distinct()
-    pairs = _blocks(queries, F.col("query_text"), QUERY_BLOCK, ["query_text"], "queries").join(_blocks(items, F.col("item_code"), ITEM_BLOCK, ["item_code", "_row_ord", item_text], "items"), "tenant")
+                        out.append((tenant, words, items_in[k][0], items_in[k][1], float(s[k])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["tenant", "query_text", "item_code", "_row_ord", "lexical_score"])
+
+    names = ["tenant", "part", "chunk", "item", "item_code", "_row_ord", "words"]
+    queries = lines.where("query_text <> ''").select("tenant", "query_text").distinct()
+    plan = _parts(items, ITEM_BLOCK, "n_parts").join(_parts(queries, QUERY_CHUNK, "n_chunks"), "tenant")
+    some, asked = items.join(plan, "tenant"), queries.join(plan, "tenant")
+    every = {n: F.explode(F.sequence(F.lit(0), F.col(f"n_{n}s") - 1)).alias(n) for n in ("part", "chunk")}
+    held = some.select("tenant", F.pmod(F.xxhash64("item_code"), F.col("n_parts")).cast("int").alias("part"), every["chunk"], F.lit(True).alias("item"), "item_code", F.col("_row_ord").cast("bigint").alias("_row_ord"), F.col(item_text).alias("words"))
+    streamed = asked.select("tenant", every["part"], F.pmod(F.xxhash64("query_text"), F.col("n_chunks")).cast("int").alias("chunk"), F.lit(False).alias("item"), F.lit(None).cast("string").alias("item_code"), F.lit(None).cast("bigint").alias("_row_ord"), F.col("query_text").alias("words"))
     # a stated number, as the rows are few and heavy: small partitions must not be put together
-    parts = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = pairs.repartition(parts, "tenant", F.xxhash64("queries"), F.xxhash64("items")).mapInArrow(run, "tenant string, query_text string, item_code string, _row_ord bigint, lexical_score double")
+    tasks = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.unionByName(streamed).repartition(tasks, "tenant", "part", "chunk").sortWithinPartitions("tenant", "part", "chunk", F.col("item").desc(), "_row_ord", "item_code")
+    found = dealt.select(*names).mapInArrow(run, "tenant string, query_text string, item_code string, _row_ord bigint, lexical_score double")
     order = Window.partitionBy("tenant", "query_text").orderBy(F.col("lexical_score").desc(), "_row_ord", "item_code")
     return found.withColumn("lex_rank", F.row_number().over(order)).where(F.col("lex_rank") <= limit)
 
@@ -118,7 +130,7 @@ def lexical_best(candidates: DataFrame) -> DataFrame:
     """line_id, item_code, confidence, margin, n_candidates, candidates: what the lexical lane says of each line."""
     each = F.struct("rank", "item_code", F.col("confidence_score").alias("score"), F.col("lexical_score").alias("lexical"))
     grouped = candidates.groupBy("line_id").agg(F.array_sort(F.collect_list(each)).alias("candidates"))
-    first, rest = F.col("candidates")[0], F.transform(F.slice("candidates", 2, RETRIEVED * 4), lambda x: x["score"])
+    first, rest = F.col("candidates")[0], F.transform(F.slice("candidates", 2, F.greatest(F.size("candidates"), F.lit(1))), lambda x: x["score"])
     return grouped.select(
         "line_id",
         first["item_code"].alias("item_code"),

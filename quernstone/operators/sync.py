@@ -58,6 +58,22 @@ def push_outcomes(store: DataFrame, remote: DataFrame) -> DataFrame:
     return rows.select("external_id", outcome.alias("outcome"), F.when(outcome.isin("create", "update"), F.coalesce("r_version", F.lit(0)) + 1).otherwise(F.col("r_version")).cast("int").alias("version"))
 
 
+def both_ways(store: DataFrame, feed: DataFrame) -> DataFrame:
+    """A pull and then a push against the remote side that the feed describes: the store after both."""
+    pulled = merge_pulled(store, feed)
+    return acknowledged(pulled, push_outcomes(pulled, latest(feed)))
+
+
+def next_page(feed: DataFrame, after: tuple | None, limit: int = 50) -> DataFrame:
+    """The next changes behind a cursor (time, id, version), so any number of changes at one time can be paged."""
+    if after is not None:
+        at, id_, version = (F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1]), F.lit(after[2]))
+        later = (F.col("external_id") > id_) | ((F.col("external_id") == id_) & (F.col("version") > version))
+        # the first condition alone reaches the scan
+        feed = feed.where(F.col("updated_at") >= at).where((F.col("updated_at") > at) | later)
+    return feed.orderBy("updated_at", "external_id", "version").limit(limit)
+
+
 def acknowledged(store: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The store after a push: written and reconciled records are clean at their version; conflicts stay as they are."""
     done = outcomes.where(~F.col("outcome").endswith("conflict")).select("external_id", F.col("version").alias("a_version"))

@@ -1,4 +1,4 @@
-"""The queries in DuckDB's SQL, written apart from the Spark plans.
+"""The queries in DuckDB's SQL; nothing here is taken from the engine, so wrong constants of it show.
 
 Each statement is a chain of common table expressions: the model views, then
 what the query adds.  Texts in the model's views are ASCII, so the regular
@@ -7,9 +7,17 @@ expressions need no Unicode classes.
 
 from __future__ import annotations
 
-from ..functions.text import FILLERS, LEADING, SYNONYMS, VARIANTS
-from ..operators import evaluation as ev
-from ..sources.models import CUTOFF, FIRST_DAY, LAST_DAY
+# Fixed values, stated again for the SQL: windows, word lists, grids, bounds, bands and costs.
+FIRST_DAY, LAST_DAY, CUTOFF = "2024-01-05", "2024-01-25", "2024-01-16 00:00:00"
+LEADING = "item|product|order|qty"
+FILLERS = "please|pls|need|urgent|send"
+CHATTER = "pls|please|urgent|need|send|thanks|bro"
+SYNONYMS = (("zp", "zinc plated"), ("ss304", "stainless 304"), ("ss316", "stainless 316"), ("putih", "white"))
+VARIANTS = ("flap", "cutting", "grinding")
+SWEEP_SCORES, SWEEP_MARGINS = (0.85, 0.90, 0.925, 0.95, 0.97, 0.98), (0.00, 0.01, 0.03, 0.05, 0.10)
+SCORE_BOUNDS = (0.30, 0.40, 0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90)
+BANDS = ((0.95, 0.10), (0.90, 0.10), (0.85, 0.10), (0.85, 0.05), (0.85, 0.03))
+COST_CORRECT, COST_ABSTAIN, COST_WRONG = -20, 40, 800
 
 ORACLES: dict[str, str] = {}
 
@@ -113,8 +121,8 @@ _SKU = "'S' || lpad(CAST(p_partkey AS VARCHAR), 6, '0')"
 _BARCODE = "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '9' || lpad(CAST(p_partkey // 4 AS VARCHAR), 11, '0') END"
 
 
-def _line(modulus: int, wide: bool = False) -> str:
-    k = f"(x.l_orderkey // {modulus})"
+def _line(wide: bool = False) -> str:
+    k = "x.l_orderkey"
     return f"""
         SELECT x.l_orderkey AS line_id, {_TENANT} AS tenant, 'CUST-' || CAST(p_partkey % 8 AS VARCHAR) AS customer_id, strftime(o.o_orderdate, '%Y-%m-%d') AS order_date,
             CASE {k} % 8 WHEN 0 THEN {_NAME} WHEN 1 THEN upper({_NAME}) WHEN 2 THEN p_name || ' ' || p_type || ' ' || CAST(p_size AS VARCHAR) || 'mm' WHEN 3 THEN 'pls send ' || {_NAME}
@@ -124,17 +132,17 @@ def _line(modulus: int, wide: bool = False) -> str:
             {_BARCODE if wide else f"CASE WHEN {k} % 5 = 0 THEN {_BARCODE} ELSE '' END"} AS raw_barcode,
             CASE {k} % 3 WHEN 0 THEN 'pcs' WHEN 1 THEN 'ctn' ELSE '' END AS uom_text,
             CASE WHEN {k} % 8 = 7 THEN '' ELSE {_PART} END AS gt_item_code
-        FROM (SELECT l_orderkey, min(l_partkey) AS pk FROM lineitem WHERE l_orderkey % {modulus} = 0 GROUP BY 1) x JOIN part ON p_partkey = x.pk JOIN orders o ON o.o_orderkey = x.l_orderkey"""
+        FROM (SELECT l_orderkey, min(l_partkey) AS pk FROM lineitem GROUP BY 1) x JOIN part ON p_partkey = x.pk JOIN orders o ON o.o_orderkey = x.l_orderkey"""
 
 
 CATALOGUE = {
-    "base_items": f"SELECT {_TENANT} AS tenant, {_PART} AS item_code, {_NAME} AS item_name, p_brand AS brand, CASE WHEN p_partkey % 20 = 0 THEN '1' ELSE '0' END AS disabled, p_retailprice AS list_price, {_BARCODE} AS barcode, p_partkey AS row_ord FROM part",
+    "base_items": f"SELECT {_TENANT} AS tenant, {_PART} AS item_code, {_NAME} AS item_name, p_brand AS brand, CASE WHEN p_partkey % 20 = 0 THEN '1' ELSE '0' END AS disabled, p_retailprice AS list_price, {_BARCODE} AS barcode, p_partkey AS row_ord, 'type ' || p_type AS description, p_partkey % 7 AS available_qty FROM part",
     "catalogue": "SELECT * FROM base_items UNION ALL SELECT * REPLACE (item_code || '-OLD' AS item_code, '1' AS disabled) FROM base_items WHERE row_ord % 25 = 0",
     "active": "SELECT * FROM catalogue WHERE disabled = '0'",
 }
 ALIAS = {
     "alias": f"""
-        SELECT {_TENANT} AS tenant, 'CUST-' || CAST(p_partkey % 8 AS VARCHAR) AS customer_id, {_SKU} AS customer_sku, u.item_code, '1995-01-01' AS valid_from, u.valid_to
+        SELECT {_TENANT} AS tenant, 'CUST-' || CAST(p_partkey % 8 AS VARCHAR) AS customer_id, {_SKU} AS customer_sku, u.item_code, '1995-01-01' AS valid_from, u.valid_to, CASE WHEN p_partkey % 3 = 1 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS confidence
         FROM part, LATERAL (
             SELECT {_PART} AS item_code, '' AS valid_to WHERE p_partkey % 5 = 1
             UNION ALL SELECT {_PART} || '-OLD', '' WHERE p_partkey % 25 = 0
@@ -153,7 +161,7 @@ LANES = {
             CASE WHEN a.item_code <> b.item_code THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS confidence
         FROM barcode_lane b FULL JOIN alias_lane a ON a.line_id = b.line_id""",
 }
-_WIDE = {"line": _line(5, True)} | CATALOGUE | ALIAS | LANES
+_WIDE = {"line": _line(wide=True)} | CATALOGUE | ALIAS | LANES
 
 # -- text
 
@@ -186,20 +194,22 @@ def variant(c: str) -> str:
 
 
 _TAG_TESTS = {
-    "short_text": r"len(regexp_extract_all(raw_text, '\w+')) <= 3", "conversational_noise": rf"regexp_matches(lower(raw_text), '\b(?:{FILLERS})\b')", "separator_noise": "regexp_matches(raw_text, '[/_|]')",
+    "short_text": r"len(regexp_extract_all(raw_text, '\w+')) <= 3", "conversational_noise": rf"regexp_matches(lower(raw_text), '\b(?:{CHATTER})\b')", "separator_noise": "regexp_matches(raw_text, '[/_|]')",
     "spacing_noise": r"regexp_matches(raw_text, '\s{2,}')", "numeric_attributes": r"regexp_matches(raw_text, '\d')",
     "measurement_text": r"""regexp_matches(raw_text, '\d+\s*["'']') OR regexp_matches(lower(raw_text), '\d+\s*(?:mm|kg|g|l)\b')""",
     "has_buyer_sku": "buyer_sku <> ''", "has_barcode": "raw_barcode <> ''", "has_price": "unit_price IS NOT NULL", "has_uom": "uom_text <> ''",
 }
 _TAGS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in _TAG_TESTS.items()) + "], lambda x: x IS NOT NULL))"
 TAGGED = {"tagged": f"SELECT line_id, CASE WHEN len({_TAGS}) = 0 THEN ['plain_text'] ELSE {_TAGS} END AS tags FROM line"}
-_LINE5 = {"line": _line(5)}
+_LINE = {"line": _line()}
 
 ORACLES |= {
-    "normalize_text": _with(_LINE5, f"SELECT line_id, {norm('raw_text')} AS normalized FROM line"),
-    "extract_numbers": _with(_LINE5 | {"q": f"SELECT line_id, {norm('raw_text')} AS t FROM line"} | numbers_views("q", "line_id", "t"), "SELECT line_id, array_to_string(numbers, ',') AS numbers FROM numbers_line_id"),
+    "normalize_text": _with(_LINE, f"SELECT line_id, {norm('raw_text')} AS normalized FROM line"),
+    # full-width characters are the visible ones of ASCII, an accent joins its letter, a number in a ring is the number
+    "normalize_wide": _with(_LINE, f"SELECT line_id, {norm("raw_text || ' caf\u00e9 1'")} AS normalized FROM line"),
+    "extract_numbers": _with(_LINE | {"q": f"SELECT line_id, {norm('raw_text')} AS t FROM line"} | numbers_views("q", "line_id", "t"), "SELECT line_id, array_to_string(numbers, ',') AS numbers FROM numbers_line_id"),
     "extract_variant": "WITH x AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN ' flap disc' WHEN 1 THEN ' Grinding Disc' WHEN 2 THEN ' cutting wheel' WHEN 3 THEN ' flap cutting' ELSE '' END AS t FROM part) SELECT p_partkey, " + variant("t") + " AS variant FROM x",
-    "noise_tags": _with(_LINE5 | TAGGED, "SELECT line_id, array_to_string(tags, ',') AS tags FROM tagged"),
+    "noise_tags": _with(_LINE | TAGGED, "SELECT line_id, array_to_string(tags, ',') AS tags FROM tagged"),
     "slug_codes": "SELECT p_partkey, regexp_replace(upper(p_brand || '-' || p_name), '[^A-Z0-9]', '', 'g') AS slug FROM part",
     "barcode_lane": _with(_WIDE, "SELECT * FROM barcode_lane"),
     "alias_lane": _with(_WIDE, "SELECT * FROM alias_lane"),
@@ -247,11 +257,19 @@ def _lcs(a: str, b: str) -> str:
 
 
 def set_ratio_views(pairs: str) -> dict[str, str]:
-    """``ratios`` (all columns of ``pairs``, ratio) for pairs with word lists qw and tw."""
+    """``ratios`` (all columns of ``pairs``, ratio) for pairs with word lists qw and tw.
+
+    The rests of either side repeat over the pairs, so the letters' places are found once for each rest.
+    """
+    place = "list_sum(list_transform(range(1, len(sa) + 1), lambda i: CASE WHEN ascii(substr(sa, CAST(i AS INTEGER), 1)) = c THEN (1::HUGEINT << CAST(i - 1 AS INTEGER)) ELSE 0::HUGEINT END))"
     return {
         "split": f"""SELECT *, array_to_string(list_filter(qw, lambda x: list_contains(tw, x)), ' ') AS si, array_to_string(list_filter(qw, lambda x: NOT list_contains(tw, x)), ' ') AS sa,
             array_to_string(list_filter(tw, lambda x: NOT list_contains(qw, x)), ' ') AS sb FROM {pairs}""",
-        "measured": f"SELECT *, CAST(len(si) AS DOUBLE) AS ls, CAST(len(sa) AS DOUBLE) AS la, CAST(len(sb) AS DOUBLE) AS lb, CASE WHEN len(si) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sp, CASE WHEN len(si) > 0 AND (len(sa) = 0 OR len(sb) = 0) THEN 0 ELSE {_lcs('sa', 'sb')} END AS lcs FROM split",
+        "firsts": f"SELECT sa, (1::HUGEINT << len(sa)) - 1 AS ones, list_transform(range(0, 128), lambda c: CAST(coalesce({place}, 0) AS HUGEINT)) AS masks FROM (SELECT DISTINCT sa FROM split)",
+        "seconds": "SELECT sb, list_transform(string_split(sb, ''), lambda c: ascii(c) + 1) AS letters FROM (SELECT DISTINCT sb FROM split)",
+        "measured": """SELECT s.*, CAST(len(si) AS DOUBLE) AS ls, CAST(len(s.sa) AS DOUBLE) AS la, CAST(len(s.sb) AS DOUBLE) AS lb, CASE WHEN len(si) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS sp,
+            CASE WHEN len(s.sa) = 0 OR len(s.sb) = 0 THEN 0 ELSE len(s.sa) - bit_count(list_reduce(list_transform(letters, lambda c: masks[c]), lambda s, m: ((s + (s & m)) | (s - (s & m))) & ones, ones)) END AS lcs
+            FROM split s JOIN firsts USING (sa) JOIN seconds USING (sb)""",
         "ratios": """SELECT *, CASE WHEN len(qw) = 0 OR len(tw) = 0 THEN 0.0::DOUBLE WHEN ls > 0 AND (la = 0 OR lb = 0) THEN 100.0::DOUBLE
             WHEN ls = 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (la + lb - 2 * lcs) / (ls + sp + la + ls + sp + lb)
             ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (la + lb - 2 * lcs) / (ls + sp + la + ls + sp + lb), 100.0::DOUBLE - 100.0::DOUBLE * (sp + la) / (ls + ls + sp + la), 100.0::DOUBLE - 100.0::DOUBLE * (sp + lb) / (ls + ls + sp + lb)) END AS ratio FROM measured""",
@@ -262,7 +280,7 @@ def words(c: str) -> str:
     return f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda x: x <> '')))"
 
 
-_OWN = {"line": _line(5)} | CATALOGUE | {
+_OWN = {"line": _line()} | CATALOGUE | {
     "named": f"SELECT l.line_id, {norm('l.raw_text')} AS q, {norm('c.item_name')} AS t FROM line l JOIN catalogue c ON c.item_code = l.gt_item_code",
     "pairs": f"SELECT line_id, q, t, {words('q')} AS qw, {words('t')} AS tw FROM named",
 }
@@ -278,12 +296,12 @@ _ITEM_NUMBERS = numbers_views("items0", "item_code", "search_text")
 _QUERY_NUMBERS = numbers_views("lines0", "line_id", "query_text")
 _PRICE = "abs(unit_price - list_price) / list_price"
 RANKED = (
-    {"line": _line(200)}
+    {"line": _line()}
     | CATALOGUE
     | ALIAS
     | LANES
     | {
-        "items0": f"SELECT *, {norm('item_name')} AS name_text, {norm("item_name || '  ' || brand")} AS search_text, {norm('brand')} AS brand_text FROM active",
+        "items0": f"SELECT *, {norm('item_name')} AS name_text, {norm("item_name || ' ' || description || ' ' || brand")} AS search_text, {norm('brand')} AS brand_text FROM active",
         "lines0": f"SELECT *, {norm('raw_text')} AS query_text FROM line",
     }
     | _ITEM_NUMBERS
@@ -291,11 +309,13 @@ RANKED = (
     | {
         "items1": f"SELECT i.*, n.numbers AS item_numbers, {variant('search_text')} AS item_variant, {words('name_text')} AS tw FROM items0 i JOIN numbers_item_code n ON n.item_code = i.item_code",
         "lines1": f"SELECT l.*, n.numbers AS query_numbers, {variant('query_text')} AS query_variant, {words('query_text')} AS qw FROM lines0 l JOIN numbers_line_id n ON n.line_id = l.line_id",
-        "pairs": "SELECT l.line_id, i.item_code, i.row_ord, l.qw, i.tw FROM lines1 l JOIN items1 i ON i.tenant = l.tenant",
+        "asked": "SELECT DISTINCT tenant, qw FROM lines1",
+        "pairs": "SELECT a.tenant, i.item_code, i.row_ord, a.qw, i.tw FROM asked a JOIN items1 i ON i.tenant = a.tenant",
     }
     | set_ratio_views("pairs")
     | {
-        "retrieved": "SELECT line_id, item_code, ratio / 100.0::DOUBLE AS lex, row_number() OVER (PARTITION BY line_id ORDER BY ratio / 100.0::DOUBLE DESC, row_ord, item_code) AS lex_rank FROM ratios QUALIFY lex_rank <= 30",
+        "best": "SELECT tenant, qw, item_code, ratio / 100.0::DOUBLE AS lex, row_number() OVER (PARTITION BY tenant, qw ORDER BY ratio / 100.0::DOUBLE DESC, row_ord, item_code) AS lex_rank FROM ratios QUALIFY lex_rank <= 30",
+        "retrieved": "SELECT l.line_id, b.item_code, b.lex, b.lex_rank FROM best b JOIN lines1 l ON l.tenant = b.tenant AND l.qw = b.qw",
         "scored": f"""SELECT r.*, l.gt_item_code, l.unit_price, CASE WHEN i.brand_text <> '' AND contains(l.query_text, i.brand_text) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS brand_match,
             CASE WHEN len(l.query_numbers) = 0 THEN 0.5::DOUBLE ELSE CAST(len(list_intersect(l.query_numbers, i.item_numbers)) AS DOUBLE) / len(l.query_numbers) END AS numeric_score,
             CASE WHEN l.query_variant IS NULL THEN 0.5::DOUBLE WHEN l.query_variant IS NOT DISTINCT FROM i.item_variant THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS variant_score,
@@ -343,8 +363,8 @@ _PREDICTED = f"""SELECT CAST(line_id AS VARCHAR) AS line_id, CASE WHEN decision
 _HOLDOUT = f"""SELECT count(*) AS n_lines, {_n("decision = 'auto'", 'n_auto')}, {_n(f"decision = 'auto' AND {_OK}", 'n_correct')}, {_n(f"decision = 'auto' AND NOT {_OK}", 'n_wrong')}, {_n("decision <> 'auto'", 'n_abstained')},
     {_n(f'NOT ({_POS})', 'abstain_should')}, {_n(f"NOT ({_POS}) AND decision <> 'auto'", 'abstain_right')}, {_n(f"decision <> 'auto' AND {_POS}", 'recall3_total')},
     {_n(f"decision <> 'auto' AND {_POS} AND list_contains(list_slice(codes, 1, 3), gt_item_code)", 'recall3_hits')},
-    CAST(sum(CASE WHEN decision = 'auto' AND {_OK} THEN {ev.COST_CORRECT} WHEN decision = 'auto' THEN {ev.COST_WRONG} ELSE {ev.COST_ABSTAIN} END) AS BIGINT) AS cost, {ev.COST_ABSTAIN} * count(*) AS cost_abstain_all,
-    CAST(sum(CASE WHEN {_POS} THEN {ev.COST_CORRECT} ELSE {ev.COST_ABSTAIN} END) AS BIGINT) AS cost_oracle FROM decided"""
+    CAST(sum(CASE WHEN decision = 'auto' AND {_OK} THEN {COST_CORRECT} WHEN decision = 'auto' THEN {COST_WRONG} ELSE {COST_ABSTAIN} END) AS BIGINT) AS cost, {COST_ABSTAIN} * count(*) AS cost_abstain_all,
+    CAST(sum(CASE WHEN {_POS} THEN {COST_CORRECT} ELSE {COST_ABSTAIN} END) AS BIGINT) AS cost_oracle FROM decided"""
 
 
 def _values(rows) -> str:
@@ -370,7 +390,7 @@ ORACLES |= {
     "eval_by_noise": _with(RANKED | TAGGED | {"flat": "SELECT line_id, unnest(tags) AS tag FROM tagged", "by_tag": "SELECT d.*, t.tag FROM decided d JOIN flat t ON t.line_id = d.line_id"}, _grouped("by_tag", "tag")),
     "threshold_sweep": _with(
         RANKED | {
-            "grid": f"SELECT * FROM (VALUES {_values([(s, m) for s in ev.SWEEP_SCORES for m in ev.SWEEP_MARGINS])}) AS g(score_threshold, margin_threshold)",
+            "grid": f"SELECT * FROM (VALUES {_values([(s, m) for s in SWEEP_SCORES for m in SWEEP_MARGINS])}) AS g(score_threshold, margin_threshold)",
             "paired": f"SELECT d.gt_item_code, CASE WHEN {_STRONG.replace('source', 'd.source')} THEN d.item_code END AS strong, x.item_code AS fuzzy, x.confidence, CASE WHEN x.n_candidates > 1 THEN x.margin ELSE 0.0::DOUBLE END AS gap FROM decided d LEFT JOIN lexical x ON x.line_id = d.line_id",
             "each": "SELECT g.*, b.*, b.strong IS NULL AND b.confidence >= g.score_threshold AND b.gap >= g.margin_threshold AS by_score FROM paired b, grid g",
             "picked": "SELECT *, coalesce(strong, CASE WHEN by_score THEN fuzzy END) AS chosen FROM each",
@@ -379,12 +399,12 @@ ORACLES |= {
         f"SELECT score_threshold, margin_threshold, auto, correct, auto - correct AS wrong, strong, lexical, {_share('correct', 'auto', 'precision')}, round(CAST(auto AS DOUBLE) / n, 6) AS coverage FROM cells",
     ),
     "score_distribution": _with(
-        RANKED | {"grid": f"SELECT * FROM (VALUES {_values([(x,) for x in ev.SCORE_BOUNDS])}) AS g(threshold)"},
+        RANKED | {"grid": f"SELECT * FROM (VALUES {_values([(x,) for x in SCORE_BOUNDS])}) AS g(threshold)"},
         f"SELECT threshold, {_n(f'confidence >= threshold AND {_POS}', 'positive_reached')}, {_n(f'confidence >= threshold AND NOT ({_POS})', 'blank_reached')}, {_n(f'confidence < threshold AND {_POS}', 'positive_below')}, {_n(f'confidence < threshold AND NOT ({_POS})', 'blank_below')} FROM lexical JOIN line USING (line_id), grid GROUP BY 1",
     ),
     "blank_gt_bands": _with(
-        RANKED | {"grid": f"SELECT * FROM (VALUES {_values(ev.BANDS)}) AS g(band, low_score, low_margin)"},
-        f"SELECT band, {_n('margin >= low_margin AND confidence >= low_score', 'n_band')}, {_n('margin >= low_margin', 'n_margin')} FROM lexical JOIN line USING (line_id), grid WHERE NOT ({_POS}) GROUP BY 1",
+        RANKED | {"grid": f"SELECT * FROM (VALUES {_values(BANDS)}) AS g(low_score, low_margin)"},
+        f"SELECT low_score, low_margin, {_n('margin >= low_margin AND confidence >= low_score', 'n_band')}, {_n('margin >= low_margin', 'n_margin')} FROM lexical JOIN line USING (line_id), grid WHERE NOT ({_POS}) GROUP BY 1, 2",
     ),
     "gt_rank_buckets": _with(
         RANKED | {"place": "SELECT line_id, min(rank) AS r FROM ranked WHERE item_code = gt_item_code GROUP BY 1"},
@@ -413,10 +433,21 @@ ORACLES |= {
         round(avg(CASE WHEN rank = 1 AND item_code = gt_item_code THEN confidence_score END), 6) AS avg_score_right, round(avg(CASE WHEN rank = 1 AND item_code <> gt_item_code THEN confidence_score END), 6) AS avg_score_wrong FROM ranked WHERE {_POS}""",
     ),
     "retrieval_misses": _with(
-        RANKED | {"best": "SELECT line_id, item_code AS first_code FROM ranked WHERE rank = 1", "place": "SELECT line_id, CAST(min(rank) AS INTEGER) AS gt_rank FROM ranked WHERE item_code = gt_item_code GROUP BY 1"},
-        f"SELECT l.line_id, l.gt_item_code, b.first_code, p.gt_rank FROM line l LEFT JOIN best b USING (line_id) LEFT JOIN place p USING (line_id) WHERE l.{_POS} AND p.gt_rank IS DISTINCT FROM 1",
+        RANKED | {"ahead": "SELECT line_id, item_code AS first_code FROM ranked WHERE rank = 1", "place": "SELECT line_id, CAST(min(rank) AS INTEGER) AS gt_rank FROM ranked WHERE item_code = gt_item_code GROUP BY 1"},
+        f"SELECT l.line_id, l.gt_item_code, b.first_code, p.gt_rank FROM line l LEFT JOIN ahead b USING (line_id) LEFT JOIN place p USING (line_id) WHERE l.{_POS} AND p.gt_rank IS DISTINCT FROM 1",
     ),
     "blank_candidates": _with(RANKED, f"SELECT x.line_id, x.item_code, x.codes[2] AS second_code, round(x.confidence, 6) AS confidence, round(x.margin, 6) AS margin FROM lexical x JOIN line l USING (line_id) WHERE NOT (l.{_POS})"),
+    "blank_examples": _with(RANKED, f"SELECT line_id, l.raw_text, round(confidence, 6) AS confidence, round(margin, 6) AS margin FROM lexical x JOIN line l USING (line_id) WHERE NOT (l.{_POS}) ORDER BY x.confidence, x.margin, line_id LIMIT 20"),
+    "failure_drilldown": _with(
+        RANKED,
+        f"""SELECT r.line_id, l.raw_text, r.gt_item_code, g.item_name AS gt_name, g.list_price AS gt_price, CAST(r.rank AS INTEGER) AS rank, r.item_code, i.item_name, i.list_price, round(r.lex, 6) AS lexical_score, round(r.rank_score, 6) AS rank_score
+        FROM ranked r JOIN line l USING (line_id) JOIN catalogue i ON i.tenant = l.tenant AND i.item_code = r.item_code LEFT JOIN catalogue g ON g.tenant = l.tenant AND g.item_code = r.gt_item_code
+        WHERE r.rank <= 5 AND r.line_id IN (SELECT line_id FROM ranked WHERE {_POS} AND rank = 1 AND item_code <> gt_item_code)""",
+    ),
+    "price_examples": _with(
+        RANKED | {"off": f"SELECT r.line_id, r.item_code, r.gt_item_code, r.rank, abs(r.unit_price - i.list_price) / i.list_price AS off FROM ranked r JOIN active i ON i.item_code = r.item_code WHERE r.{_POS} AND r.unit_price > 0 AND i.list_price > 0"},
+        "SELECT a.line_id, a.item_code AS first_code, a.gt_item_code, round(a.off, 6) AS first_off, round(b.off, 6) AS gt_off FROM off a JOIN off b USING (line_id) WHERE a.rank = 1 AND a.item_code <> a.gt_item_code AND b.item_code = b.gt_item_code AND b.off + 0.10::DOUBLE < a.off",
+    ),
     "uom_confident_pairs": _with(
         RANKED | {
             "uoms": "SELECT tenant, item_code, 'pcs' AS uom FROM active UNION ALL SELECT tenant, item_code, CASE row_ord % 2 WHEN 0 THEN 'ctn' ELSE 'box' END FROM active",
@@ -458,11 +489,11 @@ _WORDSET = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[
 ORACLES |= {
     "catalogue_health": _with(
         CATALOGUE | ALIAS,
-        f"""SELECT c.*, coalesce(a.n_mappings, 0) AS n_mappings, coalesce(a.n_expired, 0) AS n_expired FROM
-        (SELECT tenant, count(*) AS n_items, {_n("disabled = '1'", 'n_disabled')}, {_n("barcode = ''", 'n_no_barcode')}, {_n("item_code LIKE '%-OLD'", 'n_superseded')}, count(*) - count(DISTINCT item_code) AS n_repeated FROM catalogue GROUP BY 1) c
-        LEFT JOIN (SELECT tenant, count(*) AS n_mappings, {_n("valid_to <> '' AND valid_to < '1998-01-01'", 'n_expired')} FROM alias GROUP BY 1) a USING (tenant)""",
+        f"""SELECT c.*, coalesce(a.n_mappings, 0) AS n_mappings, coalesce(a.n_expired, 0) AS n_expired, coalesce(a.n_low_confidence, 0) AS n_low_confidence FROM
+        (SELECT tenant, count(*) AS n_items, {_n("disabled = '1'", 'n_disabled')}, {_n("barcode = ''", 'n_no_barcode')}, {_n("item_code LIKE '%-OLD'", 'n_superseded')}, count(*) - count(DISTINCT item_code) AS n_repeated, {_n("disabled = '0' AND available_qty = 0", 'n_zero_stock')} FROM catalogue GROUP BY 1) c
+        LEFT JOIN (SELECT tenant, count(*) AS n_mappings, {_n("valid_to <> '' AND valid_to < '1998-01-01'", 'n_expired')}, {_n('confidence < 1', 'n_low_confidence')} FROM alias GROUP BY 1) a USING (tenant)""",
     ),
-    "signal_availability": _with(_LINE5, f"SELECT tenant, count(*) AS n_lines, {_n("buyer_sku <> ''", 'n_buyer_sku')}, {_n("raw_barcode <> ''", 'n_raw_barcode')}, {_n('unit_price IS NOT NULL', 'n_unit_price')}, {_n("uom_text <> ''", 'n_uom_text')} FROM line GROUP BY 1"),
+    "signal_availability": _with(_LINE, f"SELECT tenant, count(*) AS n_lines, {_n("buyer_sku <> ''", 'n_buyer_sku')}, {_n("raw_barcode <> ''", 'n_raw_barcode')}, {_n('unit_price IS NOT NULL', 'n_unit_price')}, {_n("uom_text <> ''", 'n_uom_text')} FROM line GROUP BY 1"),
     "identifier_quality": _with(
         _WIDE,
         " UNION ALL ".join(
@@ -470,9 +501,9 @@ ORACLES |= {
             for lane, column in (("barcode", "raw_barcode"), ("alias", "buyer_sku"))
         ),
     ),
-    "gt_missing": _with(_LINE5 | CATALOGUE, "SELECT line_id, tenant, gt_item_code AS item_code FROM line l WHERE gt_item_code <> '' AND NOT EXISTS (SELECT 1 FROM active a WHERE a.tenant = l.tenant AND a.item_code = l.gt_item_code)"),
+    "gt_missing": _with(_LINE | CATALOGUE, "SELECT line_id, tenant, gt_item_code AS item_code FROM line l WHERE gt_item_code <> '' AND NOT EXISTS (SELECT 1 FROM active a WHERE a.tenant = l.tenant AND a.item_code = l.gt_item_code)"),
     "foreign_skus": _with(
-        _LINE5 | CATALOGUE | {"asked": "SELECT line_id, tenant, 'P' || lpad(CAST(CAST(substr(gt_item_code, 2) AS BIGINT) + 1 AS VARCHAR), 6, '0') AS buyer_sku FROM line WHERE gt_item_code <> ''"},
+        _LINE | CATALOGUE | {"asked": "SELECT line_id, tenant, 'P' || lpad(CAST(CAST(substr(gt_item_code, 2) AS BIGINT) + 1 AS VARCHAR), 6, '0') AS buyer_sku FROM line WHERE gt_item_code <> ''"},
         "SELECT * FROM asked l WHERE EXISTS (SELECT 1 FROM catalogue c WHERE c.item_code = l.buyer_sku AND c.tenant <> l.tenant)",
     ),
     "brand_frequency": _with(CATALOGUE, "SELECT tenant, brand, count(*) AS n FROM catalogue GROUP BY 1, 2"),
@@ -481,10 +512,17 @@ ORACLES |= {
         CATALOGUE | {"plain": f"SELECT tenant, {norm('item_name')} AS base, arg_min(item_code, [CAST(row_ord AS VARCHAR).lpad(12, '0'), item_code]) AS base_code FROM catalogue GROUP BY 1, 2"},
         f"SELECT c.tenant, c.item_code || 'B' AS item_code, p.base_code FROM catalogue c LEFT JOIN plain p ON p.tenant = c.tenant AND p.base = {norm('c.item_name')} WHERE c.row_ord % 10 = 3 AND c.disabled = '0'",
     ),
+    "bulk_labels": _with(
+        _LINE | CATALOGUE | {
+            "asked": "SELECT tenant, CASE WHEN line_id % 4 = 0 THEN raw_text || ' bulk' ELSE raw_text END AS raw_text, gt_item_code, line_id % 2 = 0 AS even FROM line WHERE gt_item_code <> ''",
+            "labelled": "SELECT q.raw_text, a.row_ord % 10 = 3 AND even AS bulk FROM asked q JOIN active a ON a.tenant = q.tenant AND a.item_code = q.gt_item_code",
+        },
+        f"SELECT {_n('NOT bulk', 'n_base')}, {_n('bulk', 'n_bulk')}, {_n(f"bulk AND NOT list_contains(string_split({norm('raw_text')}, ' '), 'bulk')", 'n_bulk_unsaid')} FROM labelled",
+    ),
     "uom_reference_explode": _with(CATALOGUE | _UOM, "SELECT * FROM uoms"),
-    "uom_pairs": _with(_LINE5 | CATALOGUE | _UOM, "SELECT l.uom_text, u.uom AS item_uom, count(*) AS n FROM line l JOIN uoms u ON u.tenant = l.tenant AND u.item_code = l.gt_item_code WHERE l.uom_text <> '' GROUP BY 1, 2"),
+    "uom_pairs": _with(_LINE | CATALOGUE | _UOM, "SELECT l.uom_text, u.uom AS item_uom, count(*) AS n FROM line l JOIN uoms u ON u.tenant = l.tenant AND u.item_code = l.gt_item_code WHERE l.uom_text <> '' GROUP BY 1, 2"),
     "label_hygiene": _with(
-        {"line": _line(200)} | CATALOGUE | {"lw": f"SELECT line_id, tenant, {_WORDSET.format('raw_text')} AS w FROM line", "iw": f"SELECT tenant, item_code, {_WORDSET.format('item_name')} AS w FROM active"},
+        {"line": _line()} | CATALOGUE | {"lw": f"SELECT line_id, tenant, {_WORDSET.format('raw_text')} AS w FROM line", "iw": f"SELECT tenant, item_code, {_WORDSET.format('item_name')} AS w FROM active"},
         "SELECT l.line_id, count(*) AS n_items FROM lw l JOIN iw i ON i.tenant = l.tenant AND list_has_all(i.w, l.w) WHERE len(l.w) > 0 GROUP BY 1 HAVING count(*) > 1",
     ),
 }
@@ -523,6 +561,15 @@ ORACLES |= {
         """SELECT s.external_id, CAST(CASE WHEN c.external_id IS NULL OR c.outcome LIKE '%conflict' THEN s.remote_version WHEN c.outcome IN ('create', 'update') THEN coalesce(c.v, 0) + 1 ELSE c.v END AS INTEGER) AS remote_version,
         s.dirty AND coalesce(c.outcome LIKE '%conflict', FALSE) AS dirty FROM store s LEFT JOIN classified c USING (external_id)""",
     ),
+    "sync_both_ways": _with(
+        SYNC | {
+            "pulled": f"""SELECT coalesce(s.external_id, r.external_id) AS external_id, CASE WHEN {_KEEP} THEN s.event_type ELSE r.event_type END AS event_type, CASE WHEN {_KEEP} THEN s.value ELSE r.value END AS value,
+                CASE WHEN {_KEEP} THEN s.remote_version ELSE r.version END AS remote_version, CASE WHEN {_KEEP} THEN s.updated_at_utc ELSE r.updated_at END AS updated_at_utc, CASE WHEN {_KEEP} THEN s.dirty ELSE FALSE END AS dirty,
+                coalesce(s.mutation_id, 0) AS mutation_id, r.version AS now, r.event_type IS NOT DISTINCT FROM s.event_type AND r.value IS NOT DISTINCT FROM s.value AS same FROM store s FULL JOIN newest r ON r.external_id = s.external_id""",
+        },
+        """SELECT external_id, event_type, value, CASE WHEN dirty AND remote_version = now THEN now + 1 WHEN dirty AND now IS NULL THEN 1 WHEN dirty AND same THEN now ELSE remote_version END AS remote_version,
+        updated_at_utc, dirty AND now IS NOT NULL AND remote_version IS DISTINCT FROM now AND NOT same AS dirty, mutation_id FROM pulled""",
+    ),
     "erp_apply_writes": _with(
         SYNC,
         """SELECT s.external_id, CASE WHEN s.external_id % 9 = 0 THEN 'replay' WHEN coalesce(s.remote_version, 0) = coalesce(r.version, 0) THEN 'ok' ELSE 'conflict' END AS status,

@@ -79,7 +79,16 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = models.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return text.normalized(rows, "text", "normalized").select("doc_id", F.length("normalized").alias("n_chars"), F.sha2("normalized", 256).alias("digest"))
+    return rows.withColumn("normalized", text.normalize_text(F.col("text"))).select("doc_id", F.length("normalized").alias("n_chars"), F.sha2("normalized", 256).alias("digest"))
+
+
+@query
+def normalize_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of lines written with full-width characters and with an accent that stands apart from its letter."""
+    visible = "".join(chr(x) for x in range(0x21, 0x7F))
+    wide = F.translate("raw_text", visible, "".join(chr(ord(x) + 0xFEE0) for x in visible))
+    odd = F.concat(wide, F.lit("\u3000CAFE\u0301 \u2460"))
+    return models.line(spark, sf_dir).select("line_id", text.normalize_text(odd).alias("normalized"))
 
 
 @query
@@ -358,6 +367,21 @@ def blank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.blank_candidates(_lexical(spark, sf_dir), models.line(spark, sf_dir)))
 
 
+@query
+def blank_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.blank_examples(_lexical(spark, sf_dir), models.line(spark, sf_dir)))
+
+
+@query
+def failure_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.failure_drilldown(_ranked(spark, sf_dir), models.catalogue(spark, sf_dir)))
+
+
+@query
+def price_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.price_examples(_ranked(spark, sf_dir)))
+
+
 @query
 def uom_confident_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.confident_uom_pairs(_ranked(spark, sf_dir), models.line(spark, sf_dir), health.uom_reference(_conversions(spark, sf_dir)), gap=0.02)
@@ -410,11 +434,24 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.duplicates(identifiers.active(models.catalogue(spark, sf_dir)), "tenant", "item_name")
 
 
-@query
-def bulk_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = models.catalogue(spark, sf_dir)
     twins = items.where("_row_ord % 10 = 3 AND disabled = '0'").withColumns({"item_code": F.concat("item_code", F.lit("B")), "item_name": F.concat("item_name", F.lit(" (Bulk)"))})
-    return health.bulk_twins(items.unionByName(twins))
+    return items.unionByName(twins)
+
+
+@query
+def bulk_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.bulk_twins(_with_twins(spark, sf_dir))
+
+
+@query
+def bulk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of lines of which every second asks for the bulk twin, where there is one; every fourth says so."""
+    k = F.col("line_id")
+    p = F.regexp_extract("gt_item_code", r"P0*(\d+)", 1).try_cast("long")
+    lines = models.line(spark, sf_dir).withColumns({"raw_text": F.when(k % 4 == 0, F.concat("raw_text", F.lit(" bulk"))).otherwise(F.col("raw_text")), "gt_item_code": F.when((k % 2 == 0) & (p % 10 == 3), F.concat("gt_item_code", F.lit("B"))).otherwise(F.col("gt_item_code"))})
+    return health.bulk_labels(lines, _with_twins(spark, sf_dir))
 
 
 def _conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,6 +496,11 @@ def sync_pull_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.merge_pulled(models.local_store(spark, sf_dir), models.change_feed(spark, sf_dir))
 
 
+@query
+def sync_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.both_ways(models.local_store(spark, sf_dir), models.change_feed(spark, sf_dir))
+
+
 def _remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The remote side without every twentieth record."""
     return sync.latest(models.change_feed(spark, sf_dir)).where("external_id % 20 <> 0")
@@ -506,9 +548,10 @@ def sync_stream_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pull as a stream: the feed with repeats, merged into an empty store by one run over all that is there."""
     import uuid
 
+    from ..cluster import shared_folder
     from ..streaming import feed as stream
 
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/change-feed-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/change-feed-{uuid.uuid4().hex}"
     rows = models.change_feed(spark, sf_dir)
     rows.unionByName(rows.where("version % 7 = 0")).write.parquet(f"{folder}/feed")
     store = stream.VersionStore(spark, f"{folder}/store")

@@ -66,9 +66,9 @@ def read_json_result(spark: SparkSession, path: str, schema: T.StructType | None
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
-def result_document(df: DataFrame, elapsed_s: float, most_rows: int = 1_000_000) -> str:
-    """A report's result as one JSON document with columns, time and rows; for results of bounded size."""
-    rows = [list(r) for r in df.limit(most_rows).collect()]
+def result_document(df: DataFrame, elapsed_s: float) -> str:
+    """A report's whole result as one JSON document with columns, time and rows; large results go to ``write_json_result``."""
+    rows = [list(r) for r in df.toLocalIterator()]
     return json.dumps({"columns": df.columns, "elapsed_s": elapsed_s, "rows": rows}, default=str)
 
 

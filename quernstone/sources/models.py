@@ -65,6 +65,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("list_price"),
         barcode.alias("barcode"),
         key.alias("_row_ord"),
+        F.concat(F.lit("type "), F.col("p_type")).alias("description"),
+        (key % 7).cast("string").alias("available_qty"),
     )
     old = base.where("_row_ord % 25 = 0").withColumns({"item_code": F.concat("item_code", F.lit("-OLD")), "disabled": F.lit("1")})
     return base.unionByName(old)
@@ -79,6 +81,7 @@ def alias(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 2 == 0, "alpha").otherwise("beta").alias("tenant"),
         F.concat(F.lit("CUST-"), (key % 8).cast("string")).alias("customer_id"),
         F.concat(F.lit("S"), F.lpad(key.cast("string"), 6, "0")).alias("customer_sku"),
+        F.when(key % 3 == 1, "0.8").otherwise("1.0").alias("confidence"),
     )
     code = F.concat(F.lit("P"), F.lpad(key.cast("string"), 6, "0"))
     next_code = F.concat(F.lit("P"), F.lpad((key + 2).cast("string"), 6, "0"))
@@ -88,13 +91,13 @@ def alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.unionByName(stale).unionByName(conflict).drop("p_partkey")
 
 
-def line(spark: SparkSession, sf_dir: str, modulus: int = 1) -> DataFrame:
-    """One order line for each order, in eight ways of writing; with a modulus, only for orders whose key it divides."""
-    first = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % modulus == 0).groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
+def line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order line for each order, in eight ways of writing."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size", "p_retailprice")
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % modulus == 0).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"))
     rows = first.join(part, "p_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    key, p = F.expr(f"l_orderkey div {modulus}"), F.col("p_partkey")
+    key, p = F.col("l_orderkey"), F.col("p_partkey")
     name = F.concat_ws(" ", "p_brand", "p_name", "p_type", F.concat(F.col("p_size").cast("string"), F.lit("mm")))
     short = F.concat_ws(" ", "p_name", "p_type", F.concat(F.col("p_size").cast("string"), F.lit("mm")))
     kind = key % 8

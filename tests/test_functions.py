@@ -34,7 +34,19 @@ def test_normalize_and_numbers(spark):
 
 def test_unicode_form(spark):
     rows = spark.createDataFrame([("ﬁtting １２ ｍｍ",), (None,)], "t string")
-    assert [r.n for r in text.normalized(rows, "t", "n").collect()] == ["fitting 12 mm", ""]
+    assert [r.n for r in rows.select(text.normalize_text(F.col("t")).alias("n")).collect()] == ["fitting 12 mm", ""]
+
+
+def test_block_equals_pairs():
+    import random
+
+    rng = random.Random(4)
+    words = ["brand#12", "ivory", "steel", "economy", "32mm", "a", "bb", "1/2in", "caf\u00e9", "averyveryverylongword", "anothermuchtoolongword"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(300)]
+    block = similarity.TokenBlock(texts)
+    for _ in range(40):
+        query = " ".join(rng.choices([*words, "zz", "unknown"], k=rng.randint(0, 8)))
+        assert block.ratios(query).tolist() == similarity.token_set_ratios([sorted(set(query.split()))] * len(texts), [sorted(set(x.split())) for x in texts]).tolist()
 
 
 def test_variant_has_an_order(spark):
@@ -86,13 +98,9 @@ def test_scorers_are_symmetric_and_bounded():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["bolt", "hex", "m8", "zinc", "plated", "b", "valve", "ball"]), max_size=5).map(" ".join), min_size=1, max_size=200), st.integers(1, 8), st.sampled_from(["hex bolt", "valv ball", "", "zinc", "m8 x bolts hex"]))
-def test_block_finds_the_best(texts, limit, query):
-    want = similarity.SCORERS["token_set"]([query] * len(texts), texts)
-    got = similarity.TokenBlock(texts).best(query, limit)
-    assert (got[got >= 0] == want[got >= 0]).all()
-    order = lambda s: sorted(range(len(texts)), key=lambda k: (-s[k], k))[:limit]
-    assert order(got) == order(want)
+@given(st.lists(st.lists(st.sampled_from(["bolt", "hex", "m8", "zinc", "plated", "b", "valve", "ball"]), max_size=5).map(" ".join), min_size=1, max_size=200), st.sampled_from(["hex bolt", "valv ball", "", "zinc", "m8 x bolts hex"]))
+def test_block_of_any_texts(texts, query):
+    assert similarity.TokenBlock(texts).ratios(query).tolist() == similarity.SCORERS["token_set"]([query] * len(texts), texts).tolist()
 
 
 def test_noise_tags(spark):

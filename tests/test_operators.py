@@ -74,7 +74,7 @@ def test_ranking_and_decisions(spark, items):
 
 
 def test_no_item_of_another_tenant(spark, sf_dir):
-    lines, items = models.line(spark, sf_dir, 40), models.catalogue(spark, sf_dir)
+    lines, items = models.line(spark, sf_dir), models.catalogue(spark, sf_dir)
     ranked = matching.rank_candidates(lines, items, 5, 5).select("line_id", "tenant", "item_code")
     assert ranked.join(items.select("tenant", "item_code"), ["tenant", "item_code"], "left_anti").isEmpty()
 
@@ -166,3 +166,18 @@ def test_ambiguous_lines(spark, items):
 def test_latest_by_key(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (2, 1, "x")], "k int, v int, t string")
     assert sorted(map(tuple, health.latest_by_key(rows, "k", "v").collect())) == [(1, 3, "c"), (2, 1, "x")]
+
+def test_lines_of_twelve_classes(spark):
+    from quernstone.operators import generators
+
+    items = generators.catalogue(spark, "alpha", ["Remax", "Bosco"], [(["Hex Bolt", "Wall Plug"], ["8mm", "Stainless 304"])], 8).withColumn("barcode", F.concat(F.lit("9"), F.abs(F.xxhash64("item_code")).cast("string")))
+    lines = generators.order_lines(items, generators.derived_aliases(items), 950)
+    rows = lines.collect()
+    assert len(rows) == 950
+    counts = {}
+    for r in rows:
+        counts[r.gt_class] = counts.get(r.gt_class, 0) + 1
+        assert (r.gt_item_code == "") == (r.gt_class in ("ambiguous", "absent", "junk"))
+        assert r.raw_text
+    assert counts == {k: 10 * v for k, v in generators.CLASSES.items()}
+    assert [tuple(r) for r in lines.orderBy("line_id").collect()] == [tuple(r) for r in generators.order_lines(items, generators.derived_aliases(items), 950).orderBy("line_id").collect()]

@@ -114,3 +114,50 @@ def test_source_pages_ties(spark, tmp_path):
         rows, offset = reader.read(offset)
         seen += [r[0] for r in rows]
     assert seen == list(range(7))
+
+
+def test_pages_equal_one_merge(spark, tmp_path):
+    feed = feed_of(spark, *((k % 5, 1 + k // 5, at(5 + k // 7), "a", float(k)) for k in range(23)))
+    store = stream.VersionStore(spark, f"file://{tmp_path}/store")
+    store.seed(store_of(spark).limit(0))
+    cursor, n = stream.pull_pages(feed, store, page=4)
+    assert n == 6 and cursor[0] == at(8)
+    assert rows_of(store.current()) == rows_of(sync.merge_pulled(store_of(spark).limit(0), feed))
+    assert stream.pull_pages(feed, store, cursor, page=4, first_batch=n) == (cursor, 0)
+    import os
+
+    assert len(os.listdir(f"{tmp_path}/store")) <= 3
+
+
+def test_late_versions_are_not_lost(spark, tmp_path):
+    store = stream.VersionStore(spark, f"file://{tmp_path}/store")
+    store.seed(store_of(spark).limit(0))
+    for k, rows in enumerate([[(1, 1, at(50), "a", 1.0)], [(2, 1, at(1), "late", 2.0)]]):
+        feed_of(spark, *rows).write.parquet(f"{tmp_path}/feed/{k}")
+        source = spark.readStream.schema(stream.FEED_SCHEMA).option("recursiveFileLookup", True).parquet(f"{tmp_path}/feed")
+        stream.pull(source, store, f"{tmp_path}/checkpoint").awaitTermination()
+    assert {r.external_id for r in store.current().collect()} == {1, 2}
+
+
+def test_push_from_executors(spark):
+    store = store_of(spark, (1, "a", 1.0, 1, at(1), True, 1), (2, "a", 1.0, None, at(1), True, 1), (3, "a", 1.0, 4, at(1), False, 0))
+
+    def connect():
+        tries: dict[str, int] = {}
+
+        def write(id_, payload, base, key):
+            tries[key] = tries.get(key, 0) + 1
+            if tries[key] == 1:
+                raise TimeoutError
+            return "ok", (base or 0) + 1
+
+        return write
+
+    assert sorted(tuple(r) for r in stream.push_from_executors(store, connect).collect()) == [("1", "ok", 2), ("2", "ok", 1)]
+
+
+def test_pull_then_push(spark):
+    store = store_of(spark, (1, "a", 9.0, 1, at(10), True, 1), (2, "a", 9.0, 1, at(3), True, 4), (3, "n", 5.0, None, at(9), True, 1))
+    feed = feed_of(spark, (1, 1, at(5), "b", 2.0), (2, 2, at(5), "b", 2.0))
+    got = {r.external_id: (r.value, r.remote_version, r.dirty) for r in sync.both_ways(store, feed).collect()}
+    assert got == {1: (9.0, 2, False), 2: (2.0, 2, False), 3: (5.0, 1, False)}
