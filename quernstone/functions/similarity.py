@@ -99,6 +99,110 @@ def token_set_ratios(queries: list[list[str]], texts: list[list[str]]) -> np.nda
     return out
 
 
+class LetterBits:
+    """Texts as bits, one array for each letter of them: the longest common subsequence of a query with all at once."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, n = texts, len(texts)
+        self.sizes = np.fromiter(map(len, texts), np.float64, n)
+        self.long = np.flatnonzero(self.sizes > 64)
+        self.full = np.array([0 if len(x) > 64 else (1 << len(x)) - 1 for x in texts], dtype=np.uint64)
+        self.places: dict[str, np.ndarray] = {}
+        for k, text in enumerate(texts):
+            for i, letter in enumerate(text[:64] if len(text) <= 64 else ""):
+                if letter not in self.places:
+                    self.places[letter] = np.zeros(n, dtype=np.uint64)
+                self.places[letter][k] |= np.uint64(1 << i)
+
+    def ratios(self, query: str) -> np.ndarray:
+        """``indel_ratios`` of the query with all texts."""
+        state = np.full(len(self.texts), np.uint64(2**64 - 1))
+        for letter in query:
+            if letter in self.places:
+                u = state & self.places[letter]
+                state = (state + u) | (state - u)
+        same = np.bitwise_count(~state & self.full).astype(np.float64)
+        if len(self.long):
+            same[self.long] = lcs_lengths([query] * len(self.long), [self.texts[k] for k in self.long])
+        total = self.sizes + len(query)
+        return np.where(total > 0, 100.0 - 100.0 * (total - 2.0 * same) / np.maximum(total, 1.0), 100.0)
+
+
+    def partial(self, query: str, some: np.ndarray) -> np.ndarray:
+        """``_partial_ratio`` of a query that is not empty with some of the texts, none of them empty or long."""
+        out, n, full, sizes = np.zeros(len(some)), len(query), self.full[some], self.sizes[some].astype(np.int64)
+        everything = np.uint64(2**64 - 1)
+        texts = np.flatnonzero(sizes >= n)
+        if len(texts):
+            # windows of the texts: masks over their bits
+            where = {x: self.places[x][some[texts]] for x in set(query) if x in self.places}
+            for k in range(1 - n, int(sizes[texts].max())):
+                mask = full[texts] & np.uint64(((1 << min(64, k + n)) - 1) ^ ((1 << max(0, k)) - 1))
+                state = np.full(len(texts), everything)
+                for letter in query:
+                    if letter in where:
+                        u = state & where[letter] & mask
+                        state = (state + u) | (state - u)
+                size, same = np.bitwise_count(mask).astype(np.float64), np.bitwise_count(~state & mask)
+                out[texts] = np.maximum(out[texts], np.where(size > 0, 100.0 - 100.0 * (n + size - 2.0 * same) / (n + size), 0.0))
+        texts = np.flatnonzero(sizes < n)
+        if len(texts):
+            # windows of the query: from each begin on, letter by letter
+            where = {x: self.places[x][some[texts]] for x in set(query) if x in self.places}
+            size = sizes[texts]
+            for begin in range(n):
+                state = np.full(len(texts), everything)
+                for j in range(1, min(n - begin, int(size.max())) + 1):
+                    letter = query[begin + j - 1]
+                    if letter in where:
+                        u = state & where[letter]
+                        state = (state + u) | (state - u)
+                    ends = size >= j if begin == 0 or begin + j == n else size == j
+                    if ends.any():
+                        same = np.bitwise_count(~state & full[texts])
+                        out[texts] = np.maximum(out[texts], np.where(ends, 100.0 - 100.0 * (size + j - 2.0 * same) / (size + j), 0.0))
+        return out
+
+
+class RatioBlock:
+    """Texts of one block for any scorer of ``SCORERS``, one query after the other."""
+
+    def __init__(self, texts: list[str], method: str):
+        self.texts, self.method = texts, method
+        self.sets = TokenBlock(texts) if method != "token_sort" else None
+        self.sorted = LetterBits([" ".join(sorted(x.split())) for x in texts]) if method != "token_set" else None
+        self.plain = LetterBits(texts) if method in ("w_ratio", "best") else None
+        self.distinct = LetterBits([" ".join(x) for x in self.sets.words]) if self.plain else None
+
+    def ratios(self, query: str) -> np.ndarray:
+        if self.method == "token_set":
+            return self.sets.ratios(query)
+        by_order = self.sorted.ratios(" ".join(sorted(query.split())))
+        if self.method == "token_sort":
+            return by_order
+        by_set = self.sets.ratios(query)
+        plain = self.plain.ratios(query)
+        out = np.maximum(plain, 0.95 * np.maximum(by_set, by_order))
+        size, n = self.plain.sizes, len(query)
+        words = sorted(set(query.split()))
+        if not words:
+            out[:] = w_ratios([query] * len(self.texts), self.texts)
+        else:
+            one_by_one = (self.sets.n_words == 0) | (size > 64)
+            share = np.maximum(size, n) / np.maximum(np.minimum(size, n), 1.0)
+            some = np.flatnonzero(~one_by_one & (share >= 1.5))
+            scale = np.where(share[some] <= 8.0, 0.9, 0.6)
+            common = np.isin(self.sets.tokens, [self.sets.numbers[x] for x in words if x in self.sets.numbers]).any(axis=0)[some]
+            rest = np.full(len(some), 100.0)
+            rest[~common] = self.distinct.partial(" ".join(words), some[~common])
+            by_part = np.maximum(self.sorted.partial(" ".join(sorted(query.split())), some), rest)
+            out[some] = np.maximum(plain[some], scale * np.maximum(self.plain.partial(query, some), 0.95 * by_part))
+            if one_by_one.any():
+                k = np.flatnonzero(one_by_one)
+                out[k] = w_ratios([query] * len(k), [self.texts[x] for x in k])
+        return out if self.method == "w_ratio" else np.maximum(out, np.maximum(by_set, by_order))
+
+
 class TokenBlock:
     """Texts of one block as bits, to be compared with one query after the other.
 

@@ -44,7 +44,7 @@ def retrieve(lines: DataFrame, items: DataFrame, limit: int = RETRIEVED, method:
         import numpy as np
         import pyarrow as pa
 
-        from ..functions.similarity import SCORERS, TokenBlock
+        from ..functions.similarity import RatioBlock
 
         key, items_in, block = None, [], None
         for batch in reader:
@@ -56,8 +56,8 @@ def retrieve(lines: DataFrame, items: DataFrame, limit: int = RETRIEVED, method:
                     items_in.append((code, place, words))
                 elif items_in:
                     if block is None:
-                        block = TokenBlock([x[2] for x in items_in]) if method == "token_set" else [x[2] for x in items_in]
-                    s = (block.ratios(words) if method == "token_set" else SCORERS[method]([words] * len(block), block)) / 100.0
+                        block = RatioBlock([x[2] for x in items_in], method)
+                    s = block.ratios(words) / 100.0
                     for k in np.argsort(-s, kind="stable")[:limit].tolist():
                         out.append((tenant, words, items_in[k][0], items_in[k][1], float(s[k])))
             if out:

@@ -49,6 +49,19 @@ def test_block_equals_pairs():
         assert block.ratios(query).tolist() == similarity.token_set_ratios([sorted(set(query.split()))] * len(texts), [sorted(set(x.split())) for x in texts]).tolist()
 
 
+@pytest.mark.parametrize("method", sorted(similarity.SCORERS))
+def test_block_of_every_scorer(method):
+    import random
+
+    rng = random.Random(5)
+    words = ["brand#12", "ivory", "steel", "32mm", "a", "1/2in", "averyveryverylongword", "anothermuchtoolongword"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 5))) for _ in range(60)]
+    block = similarity.RatioBlock(texts, method)
+    for _ in range(10):
+        query = " ".join(rng.choices([*words, "zz"], k=rng.randint(0, 5)))
+        assert block.ratios(query).tolist() == pytest.approx(similarity.SCORERS[method]([query] * len(texts), texts).tolist())
+
+
 def test_variant_has_an_order(spark):
     rows = spark.createDataFrame([("Grinding flap disc",), ("cutting and grinding",), ("disc",), (None,)], "t string")
     assert [r.v for r in rows.select(text.extract_variant(F.col("t")).alias("v")).collect()] == ["flap", "cutting", None, None]
