@@ -4,31 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
+#: Ranges up to this many bytes are told apart by their bytes themselves.
+SHORT = 7
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(SHORT + 1)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
+    """The finaliser of splitmix64, which maps no two numbers to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.full(size, base, dtype=np.uint64)]).cumprod(dtype=np.uint64) for base in (_ODD, _INVERSE)]
-    return _powers[0], _powers[1]
-
-
 def flat(texts) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array (null: empty) and the offset of each text, one more at the end."""
     import pyarrow as pa
@@ -42,15 +33,26 @@ def flat(texts) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ranges of at most ``SHORT`` bytes as numbers: their bytes and their length, so equal numbers are equal ranges."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    return (eight[starts] & _MASKS[sizes]) | (sizes.astype(np.uint64) << np.uint64(56))
+
+
 def hashed_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ranges of bytes."""
-    n = len(data)
-    power, inverse = _power(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    found = (total[ends] - total[starts]) * inverse[starts]
-    return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of ranges of bytes: one to one for short ranges, xxh3 of the bytes for others."""
+    import xxhash
+
+    sizes = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    short = sizes <= SHORT
+    out[short] = short_keys(data, starts[short], sizes[short])
+    long = np.flatnonzero(~short)
+    if len(long):
+        raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return mix(out)
 
 
 def words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -2,36 +2,26 @@
 
 The ids are those of ``tokenizers.Tokenizer.encode(text,
 add_special_tokens=False)``.  Natural text repeats its words, so the encoder
-cuts a batch of texts into pieces, hashes them all at once, and asks the library
-only for pieces that it has not met.  Cuts lie only where the vocabulary's own
+cuts a batch of texts into pieces and asks the library only for pieces that it
+has not met, all of a batch at once.  Cuts lie only where the vocabulary's own
 pre-tokenizer always cuts: around white space, if the vocabulary drops it, and
-before each run of white space, if words carry it.  A new piece of Latin letters
-with marks at its end goes to the library's model as it is, any other piece to
-the whole tokenizer; a text for which the cuts are not certain is one piece.
+before each run of white space, if words carry it; a text for which the cuts
+are not certain is one piece.
 
-Pieces are told apart by 64-bit hashes.
+Pieces are told apart by their bytes: short ones as numbers that hold them,
+longer ones as they are.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-from .hashing import _SPACE, flat, hashed_ranges
+from .hashing import _SPACE, SHORT, flat, short_keys
 
 #: Pieces remembered by one worker; it starts anew beyond that.
-CACHE_PIECES = 2_000_000
-
-#: A piece that pre-tokenizers cut into its letters and its marks; not so with an apostrophe.
-_SIMPLE = re.compile(r"""([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)""")
-
-
-def _byte_characters() -> dict[int, str]:
-    """The characters by which byte-level vocabularies write bytes: visible ones stand for themselves, others for those from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [x for x in range(256) if x not in visible]
-    return {x: chr(x) for x in visible} | {x: chr(256 + k) for k, x in enumerate(others)}
+CACHE_PIECES = 500_000
+#: Longer pieces are not remembered.
+LONGEST_PIECE = 256
 
 
 class BatchEncoder:
@@ -48,13 +38,13 @@ class BatchEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind or self._kind()
         self.cache_pieces = cache_pieces
-        self.characters = _byte_characters()
-        self.marks: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """Known pieces: their hashes in order, where their ids begin in the store, and how many they are."""
-        self.keys, self.begins, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Known pieces by number: where their ids begin in the store, and how many they are."""
+        self.short, self.short_number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.long: dict[bytes, int] = {}
+        self.begins, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.store, self.stored = np.empty(1 << 16, np.uint32), 0
 
     def _kind(self) -> str:
@@ -62,33 +52,6 @@ class BatchEncoder:
             return "bytes"
         return "words" if str(self.tokenizer.model).find('end_of_word_suffix="</w>"') >= 0 else "whole"
 
-    def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _model(self, word: str) -> list[int]:
-        """The ids of what the pre-tokenizer leaves in one piece."""
-        if not word.isascii() or word[0] in " \n":
-            word = word.encode().decode("latin-1").translate(self.characters)
-        return [x.id for x in self.tokenizer.model.tokenize(word)]
-
-    def _learn(self, piece: str) -> list[int]:
-        if self.kind == "whole" or not (simple := _SIMPLE.fullmatch(piece)):
-            return self._library(piece)
-        before, letters, marks = simple.groups()
-        if self.kind == "words":
-            ids = self._model(letters.lower())
-        elif before == "\n":
-            ids = self._model("\n") + self._model(letters)
-        else:
-            ids = self._model(before + letters)
-        if marks:
-            if marks not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {}
-                self.marks[marks] = self._model(marks)
-            ids = ids + self.marks[marks]
-        return ids
-
     def _cut(self, data, offsets):
         """Begins and ends of the pieces, and the number of each text's pieces."""
         n = len(data)
@@ -112,35 +75,54 @@ class BatchEncoder:
         begins = np.flatnonzero(cut)
         return begins, np.concatenate([begins[1:], [n]]), np.diff(np.searchsorted(begins, offsets))
 
-    def _remember(self, hashes, pieces: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def _learn(self, pieces: list[bytes]) -> int:
+        """Ask the library for the ids of new pieces; returns the number of the first."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
         end = self.stored + int(sizes.sum())
         if end > len(self.store):
             self.store = np.concatenate([self.store[: self.stored], np.empty(max(end, 2 * len(self.store)) - self.stored, np.uint32)])
-        self.store[self.stored : end] = [x for ids in pieces for x in ids]
-        begins = self.stored + np.cumsum(sizes) - sizes
+        self.store[self.stored : end] = np.fromiter((x for ids in found for x in ids), np.uint32, end - self.stored)
+        first = len(self.begins)
+        self.begins = np.concatenate([self.begins, self.stored + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
         self.stored = end
-        at = np.searchsorted(self.keys, hashes)
-        self.keys, self.begins, self.sizes = np.insert(self.keys, at, hashes), np.insert(self.begins, at, begins), np.insert(self.sizes, at, sizes)
+        return first
+
+    def _numbers(self, data, begins, ends):
+        """The number of each piece; new ones are learned."""
+        raw, sizes = data.tobytes(), ends - begins
+        out, short = np.empty(len(begins), np.int64), np.flatnonzero(sizes <= SHORT)
+        keys, first, place = np.unique(short_keys(data, begins[short], sizes[short]), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.short, keys)
+        new = np.flatnonzero(self.short[np.minimum(at, len(self.short) - 1)] != keys) if len(self.short) else np.arange(len(keys))
+        long, known = np.flatnonzero(sizes > SHORT), self.long
+        texts = [raw[a:b] for a, b in zip(begins[long].tolist(), ends[long].tolist())]
+        numbers = [known.get(x, -1) for x in texts]
+        unknown = list(dict.fromkeys(x for x, n in zip(texts, numbers) if n < 0))
+        if len(new) or unknown:
+            which = short[first[new]]
+            number = self._learn([raw[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist())] + unknown)
+            self.short, self.short_number = np.insert(self.short, at[new], keys[new]), np.insert(self.short_number, at[new], number + np.arange(len(new)))
+            at = np.searchsorted(self.short, keys)
+            fresh = {x: number + len(new) + k for k, x in enumerate(unknown)}
+            numbers = [fresh[x] if n < 0 else n for x, n in zip(texts, numbers)]
+            self.long.update((x, n) for x, n in fresh.items() if len(x) <= LONGEST_PIECE)
+        out[short], out[long] = self.short_number[at][place] if len(short) else 0, numbers
+        return out
 
     def encode(self, texts):
-        if len(self.keys) > self.cache_pieces or self.stored > 16 * self.cache_pieces:
+        if len(self.begins) > self.cache_pieces or self.stored > 16 * self.cache_pieces:
             self._forget()
         data, offsets = flat(texts)
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         begins, ends, per_text = self._cut(data, offsets)
-        hashes, first, place = np.unique(hashed_ranges(data, begins, ends), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, hashes)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != hashes) if len(self.keys) else np.arange(len(hashes))
-        if len(new):
-            raw = data.tobytes()
-            self._remember(hashes[new], [self._learn(raw[a:b].decode()) for a, b in zip(begins[first[new]].tolist(), ends[first[new]].tolist())])
-            at = np.searchsorted(self.keys, hashes)
-        sizes = self.sizes[at][place]
+        number = self._numbers(data, begins, ends)
+        sizes = self.sizes[number]
         total = np.cumsum(sizes)
         n = int(total[-1]) if len(total) else 0
-        ids = self.store[np.repeat(self.begins[at][place] - (total - sizes), sizes) + np.arange(n)]
+        ids = self.store[np.repeat(self.begins[number] - (total - sizes), sizes) + np.arange(n)]
         ends_at = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(per_text)])]
         return ids, np.diff(ends_at)
 

@@ -453,27 +453,100 @@ def test_lm(spark, sf_dir, texts):
     assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
 
 
-def test_lm_levels_never_miss():
+def test_lm_levels_never_miss(tmp_path):
     rng = np.random.default_rng(1)
-    hashes, counts = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64)), rng.integers(1, 3000, 5000)
-    raw = np.frombuffer(lm.build_filter(hashes, counts[: len(hashes)]), np.uint8)
-    slices = lm.Slices(lm.Model("file:///nowhere", 1, 0, 0, 0))
-    slices.words[0], slices.raw, slices.start, slices.bits = (hashes, counts), raw, np.zeros(1, np.int64), np.array([8 * len(raw)], np.uint64)
-    levels, true = slices.levels(hashes), np.frexp(counts[: len(hashes)].astype(float))[1]
+    hashes = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) & np.uint64(lm._KEPT))
+    counts = rng.integers(1, 3000, len(hashes))
+    raw = lm.build_filter(hashes, counts)
+    (tmp_path / "slice-000000.lm").write_bytes(np.array([len(raw), 0], "<u8").tobytes() + raw)
+    slices = lm.Slices(lm.Model(f"file://{tmp_path}", 1, 0, 0, 0))
+    levels, true = slices.levels(hashes), np.frexp(counts.astype(float))[1]
     assert (levels >= true).all() and (levels > true).mean() < 0.05
-    assert (slices.levels(rng.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
+    assert (slices.levels(np.sort(rng.integers(0, 2**63, 5000, dtype=np.uint64))) > 0).mean() < 0.05
 
 
-def test_lm_joined_path_agrees(spark, odd, empty):
+def lm_by_force(texts: dict, trained, prior: float) -> dict:
+    """The model's scores from counted n-grams, each count put to the middle of its level."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = {k: [*WORD.findall((x or "").translate(low)), ""] for k, x in texts.items()}
+    counts: Counter = Counter()
+    for k in trained:
+        padded = ["", *cut[k]]
+        counts.update((x,) for x in cut[k])
+        counts.update(zip(padded, padded[1:]))
+        counts.update(zip(padded, padded[1:], padded[2:]))
+    n, v = sum(c for x, c in counts.items() if len(x) == 1), sum(len(x) == 1 for x in counts)
+
+    def c(*gram) -> float:
+        return (3 * 2 ** (counts[gram].bit_length() - 1) - 1) / 2 if counts[gram] else 0.0
+
+    out = {}
+    for k, words in cut.items():
+        padded, total = ["", *words], 0.0
+        for i, w in enumerate(words):
+            h = padded[i]
+            p = (c(w) + 1) / (n + v + 1)
+            two = min(c(h, w), c(w))
+            p = (min(two, c(h)) + prior * p) / (c(h) + prior)
+            g = padded[i - 1] if i else None
+            before = c(g, h) if i else 0.0
+            p = (min(c(g, h, w) if i else 0.0, c(h, w), before) + prior * p) / (before + prior)
+            total += math.log10(p)
+        out[k] = total
+    return out
+
+
+def test_lm_score_by_force(spark, texts):
+    rows = spark.createDataFrame([(k, x) for k, x in texts.items()], "doc_id long, text string")
+    model = lm.train(rows.where("doc_id % 3 <> 0"), slice_tokens=3000, bits_per_entry=200)
+    assert model.slices > 1
+    want = lm_by_force(texts, [k for k in texts if k % 3], lm.PRIOR)
+    for r in lm.score(rows, model).collect():
+        assert r.score == pytest.approx(want[r.doc_id])
+
+
+def test_lm_tells_double_documents_apart(spark):
+    rng = np.random.default_rng(3)
+    single = [" ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 3000) for _ in range(150)]
+    rows = [(k, x) for k, x in enumerate(single + single[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(df, lm.train(df)).collect()}
+    once = sorted(got[k] for k in range(20, 150))
+    assert sum(got[k] > once[int(0.9 * len(once))] for k in range(20)) >= 16
+
+
+def test_lm_odd_tables(spark, odd, empty):
     model = lm.train(odd, slice_tokens=500)
     assert model.slices > 1
-    a, b = ({r.doc_id: r for r in lm.score(odd, model, broadcast_bytes=x).collect()} for x in (1 << 29, 0))
-    assert set(a) == set(b) == set(range(len(ODD)))
-    for k in a:
-        assert a[k][1:3] == b[k][1:3] and a[k][3:] == pytest.approx(b[k][3:])
+    assert {r.doc_id for r in lm.score(odd, model).collect()} == set(range(len(ODD)))
+    slices = lm.Slices(model, held_bytes=1)
+    assert sum((x := slices._slice(k)) is not None for k in range(model.slices)) and slices._slice(10**6) is None
     nothing = lm.train(empty)
     assert nothing.tokens == 0 and lm.score(empty, nothing).count() == 0
-    assert all(r.base_score == 0 and r.n_known == 0 for r in lm.score(odd, nothing).collect())
+    assert all(r.base_score == 0 and r.score == 0 and r.n_known == 0 for r in lm.score(odd, nothing).collect())
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two strings of n letters that every polynomial hash modulo a power of two takes for one, if n is large."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    from quernstone.llm.hashing import words
+    from quernstone.llm.tokens import BatchEncoder
+
+    texts = [*thue_morse(1024), *thue_morse(2048)]
+    assert len(set(words(pa.array(texts))[0].tolist())) == 4
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = BatchEncoder(q.tokenizer_path(name))
+        for _ in range(2):
+            ids, counts = encoder.encode(pa.array(texts))
+            want = [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+            assert ids.tolist() == [x for y in want for x in y] and counts.tolist() == [len(x) for x in want]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert lm.train(rows).words == 5
+    assert near_dup.classes(rows).select("class_key").distinct().count() == 4
 
 
 # -- urls
