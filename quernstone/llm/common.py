@@ -18,19 +18,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here and lost executors cost no rework."""
+def written(df: DataFrame, name: str, tables: list | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends here and lost executors cost no rework.
+
+    With ``tables`` it is noted there, for ``drop_tables`` once nothing reads it any more.
+    """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if tables is not None:
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a ``written`` table."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+def drop_tables(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables noted by ``written``; the list is empty afterwards."""
+    while tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(tables.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -91,8 +94,8 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def batches(reader, text: str, limit: int = 2_000_000):
-    """Cut Arrow record batches into slices whose texts hold about ``limit`` bytes; one text stays whole."""
+def batches(reader, text: str, limit: int = 2_000_000, rows: int = 1 << 30):
+    """Cut Arrow record batches into slices of at most ``rows`` rows whose texts hold about ``limit`` bytes; one text stays whole."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -101,7 +104,8 @@ def batches(reader, text: str, limit: int = 2_000_000):
         part = np.concatenate([[0], np.cumsum(size)[:-1]]) // limit if len(size) else size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)] if len(size) else []
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+            for k in range(a, b, rows):
+                yield batch.slice(k, min(b - k, rows))
 
 
-__all__ = ["WORD", "batches", "docs", "drop_table", "filesystem", "fresh", "map_file", "need", "new_path", "read_file", "shared_folder", "text_or_empty", "write_file", "written"]
+__all__ = ["WORD", "batches", "docs", "drop_tables", "filesystem", "fresh", "map_file", "need", "new_path", "read_file", "shared_folder", "text_or_empty", "write_file", "written"]

@@ -164,14 +164,15 @@ def test_encoder_gives_the_librarys_ids(some, name):
 # -- near duplicates
 
 
-def shingle_set(text: str | None) -> frozenset:
+def shingle_counts(text: str | None) -> Counter:
     words = (text or "").encode()
     words = re.findall(rb"[^\x20\x09-\x0D]+", words)
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
 
 
 def classes_by_force(texts: dict[int, str | None], least: float = 0.8) -> dict[int, int]:
-    sets, parent = {k: shingle_set(x) for k, x in texts.items()}, {k: k for k in texts}
+    sets, parent = {k: shingle_counts(x) for k, x in texts.items()}, {k: k for k in texts}
+    sizes = {k: x.total() for k, x in sets.items()}
 
     def root(x):
         while parent[x] != x:
@@ -181,8 +182,9 @@ def classes_by_force(texts: dict[int, str | None], least: float = 0.8) -> dict[i
     ids = sorted(texts)
     for n, i in enumerate(ids):
         for j in ids[:n]:
-            a, b = sets[i], sets[j]
-            if a == b or (a and b and len(a & b) >= least * len(a | b)):
+            a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            same = sum(min(n, b[x]) for x, n in a.items() if x in b) if min(sizes[i], sizes[j]) >= least * max(sizes[i], sizes[j]) else 0
+            if a == b or (same and same >= least * (sizes[i] + sizes[j] - same)):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     return {k: root(k) for k in ids}
@@ -198,7 +200,7 @@ def planted() -> list[str | None]:
             words[at] = f"new{k}x{at}"
         out.append(" ".join(words))
     out += [" ".join(f"q{x}" for x in rng.integers(0, 9999, n)) for n in (1, 3, 4, 5, 6, 300, 300)]
-    return out + [None, "", " ", "same", "same", out[0], out[3], LONG, LONG + " z"]
+    return out + [None, "", " ", "same", "same", out[0], out[3], LONG, LONG + " z", " ".join(["a b c d e f g"] * 9), " ".join(["a b c d e f g"] * 10), "a b c d e f g", "z " * 300, "z " * 290]
 
 
 def test_near_duplicates(spark):
@@ -533,6 +535,8 @@ def thue_morse(n: int) -> tuple[str, str]:
 
 
 def test_words_that_polynomials_confuse(spark):
+    import pyarrow as pa
+
     from quernstone.llm.hashing import words
     from quernstone.llm.tokens import BatchEncoder
 
