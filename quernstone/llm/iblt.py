@@ -1,22 +1,35 @@
 """Document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
 A text's paragraphs (its lines) are hashed to 64-bit digests, its set of keys.
-A table has groups of cells; a key belongs to one group by hash and to one cell
-in each of the group's three rows.  A cell holds the number of its keys, the
-XOR of the keys and the XOR of their check hashes.  Subtracting two versions'
-tables cell by cell leaves the keys that only one of them has; peeling takes
-out keys that stand alone in a cell until nothing is left, which recovers the
-differing digests and their sides.  A group that does not come out empty is
-built again with four times the cells.
-
-Groups keep the work in proportion to the text: their number follows the number
-of paragraphs, so that each holds a few keys.  All of it is column expressions
-on arrays, so a document never leaves its row.
+The fingerprint is the serialised table itself, so two texts are compared by
+their fingerprints alone.
+
+A table has groups, a power of two in proportion to the keys, so that each holds
+a few; a key belongs to one group by hash and to one cell in each of the group's
+three rows.  A cell holds the number of its keys, the XOR of the keys and the
+XOR of their check hashes.  Subtracting two tables cell by cell leaves the keys
+that only one of them has; peeling takes out keys that stand alone in a cell
+until nothing is left, which recovers the differing digests and their sides.
+
+Each group of a fingerprint is large enough to be peeled whole: one that does
+not come out empty is built again with four times the cells.  So a fingerprint
+gives back all of its own digests, and where two tables differ in shape, or
+their difference does not come out empty, the groups in question are dealt out
+to larger ones from these, until it does.
+
+All of it is column expressions on arrays: a text's keys are sorted by group
+once, and work is in proportion to them.  A document never leaves its row.
+
+The text of a fingerprint: lines/groups/ and then, for each group that is not
+empty, number:cells a row: and its cells that are not empty as place,n,keys,checks
+joined by semicolons; groups are joined by bars.
 
 Defined results: a null text counts as empty, and an empty text is one empty
-paragraph; a paragraph that a text repeats is one key, so texts that differ
-only in repeats share their table but not their number of lines; equal texts
-have equal fingerprints; an empty table gives no rows.
+paragraph; a paragraph that a text repeats is one key, so texts that differ only
+in repeats or in the order of lines have like tables, and their fingerprints
+differ by the number of lines at most; equal texts have equal fingerprints; an
+empty table gives no rows.  Keys whose places agree in the largest table (two in
+2**36 pairs of a group) cannot be told apart by it: the group counts as different.
 """
 
 from __future__ import annotations
@@ -26,15 +39,25 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, text_or_empty
+from .common import fresh, need, text_or_empty
 
 #: Keys that a group holds on average, at most.
-GROUP_KEYS = 8
-#: Cells in each of a group's three rows, powers of two: the first try, and the retries.
-ROW_CELLS = (8, 32, 128, 512)
-#: Rounds of peeling for each try; each round takes out all keys that stand alone.
-ROUNDS = (7, 10, 14, 18)
+GROUP_KEYS = 4
+#: Cells in each of a group's three rows: the first try, and the retries.
+ROW_CELLS = (8, 32, 128, 512, 4096)
+#: Rounds of peeling; each takes out all keys that stand alone, and rounds after the last key cost nothing.
+ROUNDS = 24
 _GROUP, _CHECK, _PLACE = 5, 99, 1000
+_KEYS = "array<struct<n:int,k:bigint>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b).cast("int")
 
 
 def digests(text: Column) -> Column:
@@ -42,107 +65,182 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.xxhash64(x)))
 
 
-def n_groups(*keys: Column) -> Column:
-    """The number of groups for these sets of keys, a power of two."""
-    most = F.greatest(*(F.size(x) for x in keys), F.lit(1)) if len(keys) > 1 else F.greatest(F.size(keys[0]), F.lit(1))
-    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(most / F.lit(float(GROUP_KEYS)), F.lit(1.0))))).cast("int")
+def n_groups(keys: Column) -> Column:
+    """The number of groups for a set of keys, a power of two."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(keys) / F.lit(float(GROUP_KEYS)), F.lit(1.0))))).cast("int")
+
 
+def _check(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(_CHECK)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
-def in_group(keys: Column, group: Column, groups: Column) -> Column:
-    return F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(_GROUP)), groups) == group)
 
+def _holds(key: Column, at: Column, cells: Column) -> Column:
+    """Whether a key belongs to the cell ``at`` of a group's three rows."""
+    return F.pmod(F.xxhash64(key, _div(at, cells) + _PLACE), cells) == F.pmod(at, cells)
 
-def _place(key: Column, row: Column, cells: int) -> Column:
-    return F.xxhash64(key, row + _PLACE).bitwiseAND(F.lit(cells - 1))
 
+def _cell(n: Column, k: Column, h: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
 
-def _cell_of(keys: Column, cells: int, start: Column, at: Column, sign: Column | None = None) -> Column:
-    """A cell with all the keys that belong to it added, or taken away ``sign`` times."""
-    row = F.shiftright(at, cells.bit_length() - 1)
-    column = at.bitwiseAND(F.lit(cells - 1))
-    if sign is None:
-        own = F.filter(keys, lambda k: _place(k, row, cells) == column)
-        return F.aggregate(own, start, lambda c, k: F.struct((c["n"] + 1).alias("n"), c["k"].bitwiseXOR(k).alias("k"), c["h"].bitwiseXOR(F.xxhash64(k, F.lit(_CHECK))).alias("h")))
-    own = F.filter(keys, lambda p: _place(p["k"], row, cells) == column)
-    return F.aggregate(own, start, lambda c, p: F.struct((c["n"] - p["n"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["h"].bitwiseXOR(F.xxhash64(p["k"], F.lit(_CHECK))).alias("h")))
 
+def _without(cell: Column, keys: Column) -> Column:
+    """A cell without some keys, each taken away as often as its side says."""
+    return F.aggregate(keys, cell, lambda c, p: _cell(c["n"] - p["n"], c["k"].bitwiseXOR(p["k"]), c["h"].bitwiseXOR(_check(p["k"]))))
 
-def _empty_cell() -> Column:
+
+def _nothing() -> Column:
     zero = F.lit(0).cast("long")
-    return F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("h"))
+    return _cell(F.lit(0), zero, zero)
 
 
-def table(keys: Column, cells: int) -> Column:
+def table(keys: Column, cells: Column) -> Column:
     """array<struct<n:int,k:bigint,h:bigint>>: a group's cells, row after row."""
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda at: _cell_of(keys, cells, _empty_cell(), at))
+    minus = F.transform(keys, lambda k: F.struct(F.lit(-1).alias("n"), k.alias("k")))
+    return _let(minus, lambda own: F.transform(F.sequence(F.lit(0), 3 * cells - 1), lambda at: _without(_nothing(), F.filter(own, lambda p: _holds(p["k"], at, cells)))))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
 
-def peel(difference: Column, cells: int, rounds: int) -> Column:
+def peel(difference: Column, cells: Column) -> Column:
     """array<struct<n,k>>: the differing keys, n = 1 for those of the first table and -1 for the second's; null if cells are left."""
-    found_type = "array<struct<n:int,k:bigint>>"
 
     def one(state, _):
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"], F.lit(_CHECK))))
+        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
         keys = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
-        with_keys = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), keys.alias("keys"))
-        return F.transform(
-            F.array(with_keys),
-            lambda s: F.when(F.size(s["keys"]) == 0, F.struct(s["cells"].alias("cells"), s["found"].alias("found"))).otherwise(
-                F.struct(F.transform(s["cells"], lambda c, at: _cell_of(s["keys"], cells, c, at, F.lit(1))).alias("cells"), F.concat(s["found"], s["keys"]).alias("found"))
-            ),
-        )[0]
+        held = F.struct(state["cells"].alias("cells"), state["found"].alias("found"))
+
+        def out(keys):
+            left = F.transform(state["cells"], lambda c, at: _without(c, F.filter(keys, lambda p: _holds(p["k"], at, cells))))
+            return F.when(F.size(keys) == 0, held).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], keys).alias("found")))
+
+        return _let(keys, out)
+
+    start = F.struct(difference.alias("cells"), F.array().cast(_KEYS).alias("found"))
+    empty = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, x: F.when(F.size(s["found"]).isNull() | empty(s), s).otherwise(one(s, x)), lambda s: F.when(empty(s), s["found"]))
+
+
+def _first(sizes: tuple[int, ...], attempt, kind: str) -> Column:
+    """The first of ``attempt(size)`` that is not null."""
+    return F.aggregate(F.array(*(F.lit(x) for x in sizes)), F.lit(None).cast(kind), lambda found, size: F.when(found.isNotNull(), found).otherwise(attempt(size)))
+
+
+def _by_group(rows: Column) -> Column:
+    """An array of structs sorted by their field ``g`` as an array of arrays, one for each ``g``."""
+
+    def cut(rows):
+        number = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(number, lambda i: (i == 0) | (F.get(rows, i)["g"] != F.get(rows, i - 1)["g"]))
+        return _let(starts, lambda s: F.transform(s, lambda a, j: F.slice(rows, a + 1, F.coalesce(F.get(s, j + 1), F.size(rows)) - a)))
+
+    return _let(rows, cut)
+
+
+_GROUPS = "struct<g:int,c:int,cells:array<struct<at:int,n:int,k:bigint,h:bigint>>>"
+
 
-    start = F.struct(difference.alias("cells"), F.array().cast(found_type).alias("found"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), start, one, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["found"])
-    )
+def _kept(group: Column, keys: Column) -> Column:
+    """A group of these keys, with the first number of cells from which they all come back."""
 
+    def attempt(c):
+        def told(cells):
+            numbered = F.transform(cells, lambda x, at: F.struct(at.alias("at"), x["n"].alias("n"), x["k"].alias("k"), x["h"].alias("h")))
+            full = F.filter(numbered, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+            return F.when(peel(cells, c).isNotNull() | (c == ROW_CELLS[-1]), F.struct(group.alias("g"), c.alias("c"), full.alias("cells")).cast(_GROUPS))
 
-def difference(a: Column, b: Column) -> Column:
-    """The differing keys of one group: tried with more cells until peeling succeeds; null if all tries fail."""
-    tries = [peel(subtract(table(a, cells), table(b, cells)), cells, rounds) for cells, rounds in zip(ROW_CELLS, ROUNDS)]
-    return F.coalesce(*tries)
+        return _let(table(keys, c), told)
 
+    return _first(ROW_CELLS, attempt, _GROUPS)
 
-def n_different(a: Column, b: Column) -> Column:
-    """How many keys differ between two sets, from their tables."""
-    groups = n_groups(a, b)
 
-    def one(g):
-        parts = F.struct(in_group(a, g, groups).alias("a"), in_group(b, g, groups).alias("b"))
-        # the keys of the group once, for all tries
-        found = F.transform(F.array(parts), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), difference(p["a"], p["b"]).alias("keys")))
-        # a group that no try can empty (keys whose places agree for every size) is counted from its keys
-        return F.transform(found, lambda p: F.when(p["keys"].isNotNull(), F.size(p["keys"])).otherwise(F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"]))))[0]
+def groups_of(keys: Column, groups: Column) -> Column:
+    """The groups of a set of keys that are not empty, in order."""
+    dealt = F.sort_array(F.transform(keys, lambda k: F.struct(F.pmod(F.xxhash64(k, F.lit(_GROUP)), groups).cast("int").alias("g"), k.alias("k"))))
+    return F.transform(_by_group(dealt), lambda part: _kept(part[0]["g"], F.transform(part, lambda x: x["k"])))
 
-    return F.aggregate(F.sequence(F.lit(0), groups - 1), F.lit(0), lambda total, g: total + one(g))
 
+def _told(group: Column) -> Column:
+    cells = F.transform(group["cells"], lambda x: F.concat_ws(",", *(x[f].cast("string") for f in ("at", "n", "k", "h"))))
+    return F.concat_ws(":", group["g"].cast("string"), group["c"].cast("string"), F.array_join(cells, ";"))
 
-def cells(keys: Column) -> Column:
-    """array<array<cell>>: the whole table of a text at its first size, group by group."""
-    groups = n_groups(keys)
-    return F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.transform(F.array(in_group(keys, g, groups)), lambda own: table(own, ROW_CELLS[0]))[0])
 
+def fingerprint(text: Column) -> Column:
+    """A text's table as a string."""
+
+    def out(keys):
+        told = F.array_join(F.transform(groups_of(keys, n_groups(keys)), _told), "|")
+        return F.concat_ws("/", F.size(F.split(text, "\n")).cast("string"), n_groups(keys).cast("string"), told)
+
+    return _let(digests(text), out)
+
+
+def read(told: Column) -> Column:
+    """struct<groups:int,table:array<group>> from a fingerprint."""
+
+    def group(x):
+        p = F.split(x, ":")
+        cells = F.transform(F.filter(F.split(p[2], ";"), lambda y: y != ""), lambda y: _let(F.split(y, ","), lambda v: F.struct(v[0].cast("int").alias("at"), v[1].cast("int").alias("n"), v[2].cast("long").alias("k"), v[3].cast("long").alias("h"))))
+        return F.struct(p[0].cast("int").alias("g"), p[1].cast("int").alias("c"), cells.alias("cells"))
+
+    def out(p):
+        return F.struct(p[1].cast("int").alias("groups"), F.transform(F.filter(F.split(p[2], "\\|"), lambda x: x != ""), group).alias("table"))
+
+    return _let(F.split(told, "/"), out)
+
+
+def _all_cells(group: Column, cells: Column) -> Column:
+    """A group's cells, the empty ones too."""
+    return F.transform(F.sequence(F.lit(0), 3 * cells - 1), lambda at: F.coalesce(F.get(F.transform(F.filter(group["cells"], lambda x: x["at"] == at), lambda x: _cell(x["n"], x["k"], x["h"])), F.lit(0)), _nothing()))
+
+
+def group_keys(group: Column) -> Column:
+    """The keys of a group, peeled out of its cells."""
+    return F.transform(peel(_all_cells(group, group["c"]), group["c"]), lambda x: x["k"])
+
+
+def n_keys(table: Column) -> Column:
+    """The number of keys in a table's groups: each is counted in three cells."""
+    return F.aggregate(table, F.lit(0), lambda total, g: total + F.aggregate(g["cells"], F.lit(0), lambda n, x: n + x["n"])) / 3
+
+
+def _different(a: Column, b: Column) -> Column:
+    """How many keys differ between two groups of one number."""
+    larger = F.greatest(a["c"], b["c"])
+
+    def side(x, c):
+        return F.when(x["c"] == c, _all_cells(x, c)).otherwise(table(group_keys(x), c))
+
+    count = _first(ROW_CELLS, lambda c: F.when(c >= larger, F.size(peel(subtract(side(a, c), side(b, c)), c))), "int")
+    return F.coalesce(count.cast("double"), n_keys(F.array(a)) + n_keys(F.array(b)))
+
+
+def with_likeness(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """``df`` with the share of common keys among all of two texts, from the columns of their fingerprints alone.
+
+    Step by step in columns of their own, as one expression would be too deep for the analyser.
+    """
+    read_a, read_b, groups, dealt_a, dealt_b, pairs, total, different = names = [fresh(df, f"iblt_{x}") for x in ("a", "b", "groups", "dealt_a", "dealt_b", "pairs", "total", "different")]
 
-def fingerprint(text: Column, keys: Column) -> Column:
-    """A text's table and number of lines as 32 hexadecimal digits."""
-    held = F.struct(F.size(F.split(text, "\n")).alias("lines"), F.size(keys).alias("n"), cells(keys).alias("cells"))
-    halves = F.transform(F.array(held), lambda x: F.concat(*(F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), x["lines"], x["n"], x["cells"])), 16, "0")) for seed in (1, 2))))
-    return halves[0]
+    def dealt(x, sign):
+        table = F.when(F.col(x)["groups"] == F.col(groups), F.col(x)["table"]).otherwise(groups_of(F.flatten(F.transform(F.col(x)["table"], group_keys)), F.col(groups)))
+        return F.transform(table, lambda g: F.struct(g["g"].alias("g"), F.lit(sign).alias("side"), g.alias("group")))
 
+    def one(part):
+        return F.when(F.size(part) == 1, n_keys(F.array(part[0]["group"]))).otherwise(_different(part[0]["group"], F.get(part, F.lit(1))["group"]))
 
-def likeness(a: Column, b: Column, different: Column) -> Column:
-    """The share of common keys among all, from the number of differing ones."""
-    total = F.size(a) + F.size(b)
-    return ((total - different) / (total + different)).cast("double")
+    out = df.withColumns({read_a: read(F.col(a)), read_b: read(F.col(b))})
+    out = out.withColumns({groups: F.greatest(F.col(read_a)["groups"], F.col(read_b)["groups"]), total: n_keys(F.col(read_a)["table"]) + n_keys(F.col(read_b)["table"])})
+    out = out.withColumns({dealt_a: dealt(read_a, 0), dealt_b: dealt(read_b, 1)})
+    out = out.withColumn(pairs, _by_group(F.sort_array(F.concat(dealt_a, dealt_b))))
+    out = out.withColumn(different, F.aggregate(pairs, F.lit(0.0), lambda n, part: n + one(part)))
+    same = (F.col(total) - F.col(different)) / (F.col(total) + F.col(different))
+    return out.withColumn(to, F.when(F.col(a) == F.col(b), 1.0).otherwise(same).cast("double")).drop(*names)
 
 
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1000, most_buckets: int = 20_000) -> DataFrame:
-    """(id, text, next): every text with that of the next document in descending order of id, after the last the first.
+    """(id, text, told, next, next_told): every text and its fingerprint with those of the next document in descending order of id, after the last the first.
 
     Rows are dealt into ranges of ids of about equal size, ordered inside each
     range, and each range also gets a copy of the first row of the next one; so
@@ -174,8 +272,11 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buc
     firsts = spark.createDataFrame([x for x in following if x[1] is not None], "bucket int, top bigint")
     copies = rows.join(F.broadcast(firsts), F.col("id") == F.col("top")).select("id", "text", "bucket", F.lit(True).alias("copy"))
     order = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc_nulls_last(), F.xxhash64("text"))
-    both = placed.withColumn("copy", F.lit(False)).unionByName(copies)
-    return both.withColumn("next", F.lead("text").over(order)).where(~F.col("copy")).select("id", "text", F.coalesce("next", F.lit("")).alias("next"))
+    # dealt first, so that fingerprints are made once, behind the shuffle
+    both = placed.withColumn("copy", F.lit(False)).unionByName(copies).repartition("bucket").withColumn("told", fingerprint(F.col("text")))
+    both = both.withColumns({"next": F.lead("text").over(order), "next_told": F.lead("told").over(order)})
+    none = F.when(F.col("next").isNull(), fingerprint(F.lit(""))).otherwise(F.col("next_told"))
+    return both.where(~F.col("copy")).select("id", "text", "told", F.coalesce("next", F.lit("")).alias("next"), none.alias("next_told"))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,15 +289,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    cut = rows.select("id", "text", "next", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    keyed = cut.select("id", "text", "edited", "n_chars", *(digests(F.col(x)).alias(f"{x}_keys") for x in ("text", "edited", "next")))
-    a, b, c = F.col("text_keys"), F.col("edited_keys"), F.col("next_keys")
-    return keyed.select(
-        F.col("id").alias(id_col),
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), a).alias("fingerprint"),
-        fingerprint(F.col("edited"), b).alias("edited_fingerprint"),
-        likeness(a, b, n_different(a, b)).alias("near_edited"),
-        likeness(a, c, n_different(a, c)).alias("near_next"),
-    )
+    cut = rows.select("id", "told", "next_told", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    both = cut.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "told", "next_told", fingerprint(F.col("edited")).alias("edited_told"))
+    both = with_likeness(with_likeness(both, "told", "edited_told", "near_edited"), "told", "next_told", "near_next")
+    return both.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", F.col("told").alias("fingerprint"), F.col("edited_told").alias("edited_fingerprint"), "near_edited", "near_next")

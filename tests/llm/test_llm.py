@@ -618,8 +618,39 @@ def test_fingerprints(spark):
 
 def test_peeling_recovers_the_keys_and_their_sides(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5], [4, 5, 6]), ([], []), (list(range(40)), list(range(20, 60)))], "a array<bigint>, b array<bigint>")
-    for a, b, found in df.select("a", "b", iblt.difference(F.col("a"), F.col("b")).alias("d")).collect():
+    cells = F.lit(128)
+    difference = iblt.peel(iblt.subtract(iblt.table(F.col("a"), cells), iblt.table(F.col("b"), cells)), cells)
+    for a, b, found in df.select("a", "b", difference.alias("d")).collect():
         assert {(x.k, x.n) for x in found} == {(x, 1) for x in set(a) - set(b)} | {(x, -1) for x in set(b) - set(a)}
+    crowded = iblt.peel(iblt.table(F.col("a"), F.lit(2)), F.lit(2))
+    assert [r.d is None for r in df.select(crowded.alias("d")).collect()] == [True, False, True]
+
+
+def test_fingerprints_alone_tell_how_like_texts_are(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for k in range(80):
+        a = [f"line {rng.randrange(500)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 30, 200, 700]))]
+        b = [x for x in a if rng.random() < rng.choice([0.0, 0.3, 0.95])] + [f"new {rng.randrange(99)}" for _ in range(rng.choice([0, 1, 4, 60]))]
+        rows.append((k, "\n".join(a), "\n".join(b)))
+    texts = spark.createDataFrame(rows, "k int, a string, b string")
+    told = texts.select("k", iblt.fingerprint(F.col("a")).alias("a"), iblt.fingerprint(F.col("b")).alias("b"))
+    got = {r.k: r for r in iblt.with_likeness(told, "a", "b", "like").withColumn("keys", F.sort_array(F.flatten(F.transform(iblt.read(F.col("a"))["table"], iblt.group_keys)))).collect()}
+    digests = {r.k: r.d for r in texts.select("k", F.sort_array(iblt.digests(F.col("a"))).alias("d")).collect()}
+    for k, a, b in rows:
+        a, b = set(a.split("\n")), set(b.split("\n"))
+        assert got[k].like == pytest.approx(len(a & b) / len(a | b))
+        assert got[k]["keys"] == digests[k]  # a fingerprint gives back its own digests
+
+
+def test_fingerprints_of_many_paragraphs(spark):
+    import time
+
+    began = time.perf_counter()
+    text = [(k, "\n".join(f"line {i}" for i in range(k * 10_000, 20_000 + k * 10_000))) for k in (0, 1)]
+    told = iblt.fingerprints(spark.createDataFrame(text, "doc_id long, text string")).collect()
+    assert [r.near_next for r in told] == [pytest.approx(1 / 3)] * 2 and time.perf_counter() - began < 60
 
 
 def test_next_across_ranges(spark, odd, empty):
