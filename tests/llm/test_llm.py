@@ -431,6 +431,26 @@ def test_top_k_of_large_components(spark):
         topk.top_k(beyond, beyond).collect()
 
 
+def test_top_k_of_many_dimensions(spark):
+    rng = np.random.default_rng(15)
+    vectors = {k: [float(x) for x in rng.normal(0, 200, 768)] for k in range(100)}
+    vectors |= {20: [20000.0, 0.0], 21: [30000.0, 0.0], 22: [20000.0, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 5, shard_rows=40).collect()} == top_by_force(vectors, [k for k in vectors if k % 20 == 0], 5)
+
+
+def test_bounds_spare_leaves():
+    rng = np.random.default_rng(16)
+    centres = rng.normal(0, 40, (30, 16))
+    vectors = np.floor(np.concatenate([c + rng.normal(0, 4, (100, 16)) for c in centres]))
+    ids, visits = np.arange(len(vectors)), []
+    tree = topk.BallTree.unpacked(topk.BallTree(vectors, 16).packed())
+    who, found, score = topk.search(vectors, ids, vectors[::20], ids[::20], np.full(len(vectors[::20]), -np.inf), 5, 16, tree, visits)
+    assert (score == (vectors[::20][who] * vectors[found]).sum(axis=1)).all()
+    (seen, all_), = visits
+    assert seen < 0.5 * all_
+
+
 def test_top_k_of_the_table(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     vectors = {r.vec_id: list(r.embedding) for r in rows}
