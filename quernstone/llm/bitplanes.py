@@ -177,7 +177,8 @@ def write_ids(df: DataFrame, tokenizer: str, path: str | None = None, end_id: in
     The shards follow one another: shard k holds smaller ids than shard k+1, and
     ``start`` counts the ids in earlier shards.  A lost task writes its file anew
     under a new name and only the name it reports counts.  Null ids come first;
-    a null text counts as empty; rows of one id stand together.
+    a null text counts as empty; rows of one id stand together, in the order of
+    their texts' hashes, and may fill more than one shard.
     """
     from .common import written
 
@@ -206,7 +207,9 @@ def write_ids(df: DataFrame, tokenizer: str, path: str | None = None, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, uri, len(writer.counts), writer.n, len(data))], ["shard", "path", "docs", "tokens", "bytes"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sorted_ = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # the text's hash splits the rows of one id, or of none, among shards
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    sorted_ = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
     manifest = written(sorted_.mapInArrow(run, "shard bigint, path string, docs bigint, tokens bigint, bytes bigint"), "token-manifest")
     start, at = {}, 0
     for r in sorted(manifest.select("shard", "tokens").collect()):  # one row for each shard

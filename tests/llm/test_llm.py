@@ -161,6 +161,27 @@ def test_encoder_gives_the_librarys_ids(some, name):
     assert got == [library_ids(name, x, 7).tolist() for x in some]
 
 
+def test_pack_and_files_of_null_and_repeated_ids(spark, tmp_path):
+    texts = [f"word{k % 50} and {k}" for k in range(400)]
+    rows = [(None if k % 3 else 7, x, "en", "a", len(x)) for k, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    for name, end in (("word_bpe_49k.json", 1), ("byte_bpe_50k.json", 0)):
+        ids = Counter((r[0], tuple(library_ids(name, r[1], end).tolist())) for r in rows)
+        if end:
+            got = packing.pack(df, q.tokenizer_path(name)).collect()
+            assert sum(r.length for r in got) == sum(len(x) * n for (_, x), n in ids.items())
+            assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+            whole = Counter((r.doc_id, tuple(r.ids)) for r in got if r.length == r.doc_tokens)
+            assert not whole - ids
+        else:
+            manifest = bitplanes.write_ids(df, q.tokenizer_path(name), shards=6)
+            assert manifest.count() > 2  # one id does not fill one shard
+            got = bitplanes.read_ids(manifest).orderBy("start").collect()
+            assert Counter((r.doc_id, tuple(r.ids)) for r in got) == ids
+            assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+            assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x))
+
+
 # -- near duplicates
 
 
