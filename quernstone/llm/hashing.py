@@ -40,6 +40,16 @@ def short_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return (eight[starts] & _MASKS[sizes]) | (sizes.astype(np.uint64) << np.uint64(56))
 
 
+def pair_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of at most ``2 * SHORT + 1`` bytes as two numbers: their bytes, and their length in the second."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), dtype="<u8", buffer=padded, strides=(1,))
+    masks = np.concatenate([_MASKS, [np.uint64(2**64 - 1)]])
+    low = eight[starts] & masks[np.minimum(sizes, 8)]
+    high = eight[starts + np.minimum(sizes, 8)] & masks[np.maximum(sizes - 8, 0)]
+    return low, high | (sizes.astype(np.uint64) << np.uint64(56))
+
+
 def hashed_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ranges of bytes: one to one for short ranges, xxh3 of the bytes for others."""
     import xxhash

@@ -6,22 +6,42 @@ cuts a batch of texts into pieces and asks the library only for pieces that it
 has not met, all of a batch at once.  Cuts lie only where the vocabulary's own
 pre-tokenizer always cuts: around white space, if the vocabulary drops it, and
 before each run of white space, if words carry it; a text for which the cuts
-are not certain is one piece.
-
-Pieces are told apart by their bytes: short ones as numbers that hold them,
-longer ones as they are.
+are not certain is one piece.  A new piece of Latin letters with marks at its end
+goes to the library's model part by part, which is faster than its whole
+tokenizer; whether a vocabulary's tokenizer takes such pieces apart in the same
+way is tried on examples of all letters and marks when it is opened, and if it
+does not, every piece goes to the whole tokenizer.
+
+Pieces are told apart by their bytes: those of up to 15 bytes are two numbers,
+found by a hash of these and then compared, longer ones are kept as they are.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 
-from .hashing import _SPACE, SHORT, flat, short_keys
+from .hashing import _SPACE, SHORT, flat, mix, pair_keys
 
 #: Pieces remembered by one worker; it starts anew beyond that.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 #: Longer pieces are not remembered.
 LONGEST_PIECE = 256
+#: Pieces of so many bytes at most are held as two numbers.
+_PAIR = 2 * SHORT + 1
+
+
+#: A piece that pre-tokenizers cut into its letters and its marks; not so with an apostrophe.
+_SIMPLE = re.compile(r"""([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)""")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: visible ones stand for themselves, others for those from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [x for x in range(256) if x not in visible]
+    return {x: chr(x) for x in visible} | {x: chr(256 + k) for k, x in enumerate(others)}
 
 
 class BatchEncoder:
@@ -36,13 +56,49 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = kind or self._kind()
         self.cache_pieces = cache_pieces
+        self.characters = _byte_characters()
+        self.marks: dict[str, list[int]] = {}
+        self.by_parts = self.kind != "whole" and self._takes_parts()
         self._forget()
 
+    def _takes_parts(self) -> bool:
+        """Whether simple pieces are the ids of their parts, for examples of all letters and marks."""
+        letters = "".join(chr(x) for x in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(x) not in "×÷")
+        marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+        words = [letters[k : k + n] for n in (1, 2, 5, 9) for k in range(0, len(letters), n)] + ["don", "WeLl", "naïve", "Straße", "internationalisation"]
+        ends = ["", *marks, *(a + b for a, b in zip(marks, marks[1:] + marks[:1])), "...", "\"),", "--", "://", "|>", "<|"]
+        some = [b + w + e for k, w in enumerate(words) for b in (["", " ", "\n"] if self.kind == "bytes" else [""]) for e in (ends if k % 29 == 0 else ["", ends[k % len(ends)]])]
+        return [self._parts(_SIMPLE.fullmatch(x)) for x in some] == [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _model(self, word: str) -> list[int]:
+        """The ids of what the pre-tokenizer leaves in one piece."""
+        if not word.isascii() or word[0] in " \n":
+            word = word.encode().decode("latin-1").translate(self.characters)
+        return [x.id for x in self.model.tokenize(word)]
+
+    def _parts(self, simple) -> list[int]:
+        """The ids of a simple piece."""
+        before, letters, marks = simple.groups()
+        if self.kind == "words":
+            ids = self._model(letters.lower())
+        elif before == "\n":
+            ids = self._model("\n") + self._model(letters)
+        else:
+            ids = self._model(before + letters)
+        if marks:
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {}
+                self.marks[marks] = self._model(marks)
+            ids = ids + self.marks[marks]
+        return ids
+
     def _forget(self) -> None:
         """Known pieces by number: where their ids begin in the store, and how many they are."""
-        self.short, self.short_number = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.low, self.high, self.number = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
         self.long: dict[bytes, int] = {}
         self.begins, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self.store, self.stored = np.empty(1 << 16, np.uint32), 0
@@ -77,12 +133,15 @@ class BatchEncoder:
 
     def _learn(self, pieces: list[bytes]) -> int:
         """Ask the library for the ids of new pieces; returns the number of the first."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        texts = [x.decode() for x in pieces]
+        simple = [_SIMPLE.fullmatch(x) if self.by_parts else None for x in texts]
+        others = iter(self.tokenizer.encode_batch_fast([x for x, m in zip(texts, simple) if not m], add_special_tokens=False))
+        found = [self._parts(m) if m else next(others).ids for m in simple]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         end = self.stored + int(sizes.sum())
         if end > len(self.store):
             self.store = np.concatenate([self.store[: self.stored], np.empty(max(end, 2 * len(self.store)) - self.stored, np.uint32)])
-        self.store[self.stored : end] = np.fromiter((x for ids in found for x in ids), np.uint32, end - self.stored)
+        self.store[self.stored : end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.stored)
         first = len(self.begins)
         self.begins = np.concatenate([self.begins, self.stored + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -92,23 +151,32 @@ class BatchEncoder:
     def _numbers(self, data, begins, ends):
         """The number of each piece; new ones are learned."""
         raw, sizes = data.tobytes(), ends - begins
-        out, short = np.empty(len(begins), np.int64), np.flatnonzero(sizes <= SHORT)
-        keys, first, place = np.unique(short_keys(data, begins[short], sizes[short]), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.short, keys)
-        new = np.flatnonzero(self.short[np.minimum(at, len(self.short) - 1)] != keys) if len(self.short) else np.arange(len(keys))
-        long, known = np.flatnonzero(sizes > SHORT), self.long
+        out, short = np.empty(len(begins), np.int64), np.flatnonzero(sizes <= _PAIR)
+        low, high = pair_keys(data, begins[short], sizes[short])
+        keys, first, place = np.unique(mix(low ^ mix(high)), return_index=True, return_inverse=True)
+        one, two = low[first], high[first]
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        known = self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        # pieces whose hash another piece has go with the long ones
+        clash = known & ((self.low[near] != one) | (self.high[near] != two)) if len(self.keys) else known
+        odd = (one[place] != low) | (two[place] != high) | clash[place]
+        new = np.flatnonzero(~known)
+        long = np.concatenate([np.flatnonzero(sizes > _PAIR), short[odd]])
         texts = [raw[a:b] for a, b in zip(begins[long].tolist(), ends[long].tolist())]
-        numbers = [known.get(x, -1) for x in texts]
+        numbers = [self.long.get(x, -1) for x in texts]
         unknown = list(dict.fromkeys(x for x, n in zip(texts, numbers) if n < 0))
         if len(new) or unknown:
             which = short[first[new]]
             number = self._learn([raw[a:b] for a, b in zip(begins[which].tolist(), ends[which].tolist())] + unknown)
-            self.short, self.short_number = np.insert(self.short, at[new], keys[new]), np.insert(self.short_number, at[new], number + np.arange(len(new)))
-            at = np.searchsorted(self.short, keys)
+            for name, values in (("keys", keys[new]), ("low", one[new]), ("high", two[new]), ("number", number + np.arange(len(new)))):
+                setattr(self, name, np.insert(getattr(self, name), at[new], values))
             fresh = {x: number + len(new) + k for k, x in enumerate(unknown)}
             numbers = [fresh[x] if n < 0 else n for x, n in zip(texts, numbers)]
             self.long.update((x, n) for x, n in fresh.items() if len(x) <= LONGEST_PIECE)
-        out[short], out[long] = self.short_number[at][place] if len(short) else 0, numbers
+        if len(keys):
+            out[short] = self.number[np.searchsorted(self.keys, keys)][place]
+        out[long] = numbers
         return out
 
     def encode(self, texts):

@@ -182,6 +182,22 @@ def test_pack_and_files_of_null_and_repeated_ids(spark, tmp_path):
             assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda x: (x is not None, x))
 
 
+def test_pieces_whose_hashes_agree_are_told_apart(monkeypatch, texts):
+    import pyarrow as pa
+
+    from quernstone.llm import tokens
+
+    monkeypatch.setattr(tokens, "mix", lambda x: x & np.uint64(1))  # two hashes for all pieces
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        encoder = tokens.BatchEncoder(q.tokenizer_path(name))
+        assert encoder.by_parts
+        some = [x for x in ODD if len(x or "") < 1000] + list(texts.values())[:30]
+        for _ in range(2):
+            ids, counts = encoder.encode(pa.array(some, pa.string()))
+            want = [library_ids(name, x, 0)[:-1] for x in some]
+            assert counts.tolist() == [len(x) for x in want] and ids.tolist() == np.concatenate(want).tolist()
+
+
 # -- near duplicates
 
 
