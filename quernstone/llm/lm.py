@@ -251,10 +251,11 @@ class Slices:
         except FileNotFoundError:
             self.open[s] = None
             return None
+        mapped, data = isinstance(data, np.memmap), np.asarray(data)
         bits, words = data[:16].view("<u8").tolist()
         found = data[16 : 16 + bits], data[16 + bits : 16 + bits + 8 * words].view("<u8"), data[16 + bits + 8 * words :].view("<i8")
         self.open[s] = found
-        if not isinstance(data, np.memmap):
+        if not mapped:
             self.read += len(data)
             while self.read > self.held_bytes and len(self.open) > 1:
                 _, old = self.open.popitem(last=False)
@@ -262,31 +263,52 @@ class Slices:
         return found
 
     def _by_slice(self, hashes):
+        """(range of the hashes, slice) for each slice that there is."""
         import numpy as np
 
         of = _slice_of(hashes, self.model.slices)
         cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else [0]
         for a, b in zip(cuts, cuts[1:]):
             if (found := self._slice(int(of[a]))) is not None:
-                yield slice(a, b), found
+                yield slice(int(a), int(b)), found
 
     def levels(self, hashes):
         """The level of each n-gram, 0 if it is not in the filter; ``hashes`` ascend."""
         import numpy as np
 
-        hashes, out = hashes & np.uint64(_KEPT), np.zeros(len(hashes), np.int64)
+        hashes, out, held = hashes & np.uint64(_KEPT), np.zeros(len(hashes), np.int64), []
         for part, (raw, _, _) in self._by_slice(hashes):
-            own, bits, level = hashes[part], np.uint64(8 * len(raw)), 1
-            live = np.arange(len(own))
-            while len(live) and level <= 63:
-                for probe in range(PROBES):
-                    place = _place(own[live], level, probe, bits)
-                    held = (raw[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                    live = live[held == 1]
-                out[part.start + live] = level
-                level += 1
+            held.append((part, raw))
+            # slices that were read, not mapped, are let go in time
+            if self.read > self.held_bytes // 2:
+                self._probe(hashes, held, out)
+                held = []
+        self._probe(hashes, held, out)
         return out
 
+    def _probe(self, hashes, held: list, out) -> None:
+        """Set the levels of the n-grams of some slices: all places at once, the bytes slice by slice."""
+        import numpy as np
+
+        if not held:
+            return
+        sizes = np.array([part.stop - part.start for part, _ in held])
+        of = np.repeat(np.arange(len(held)), sizes)
+        live = np.concatenate([np.arange(part.start, part.stop) for part, _ in held])
+        bits, level = np.array([8 * len(raw) for _, raw in held], dtype=np.uint64), 1
+        while len(live) and level <= 63:
+            own, limit = hashes[live], bits[of]
+            places = np.stack([_place(own, level, probe, limit) for probe in range(PROBES)])
+            at, got = (places >> np.uint64(3)).astype(np.int64), np.empty(places.shape, np.uint8)
+            cuts = np.searchsorted(of, np.arange(len(held) + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[k], cuts[k + 1])
+                got[:, part] = held[k][1][at[:, part]]
+            there = ((got >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+            live, of = live[there], of[there]
+            out[live] = level
+            level += 1
+
     def exact(self, hashes):
         """The exact training counts of words; ``hashes`` ascend."""
         import numpy as np
