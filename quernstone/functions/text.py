@@ -57,12 +57,15 @@ def tokens(c: Column) -> Column:
 
 def extract_numbers(c: Column) -> Column:
     """Distinct sizes and numbers of a text: fractions of inches, inches, then all other numbers."""
-    c = normalize_text(c)
     fraction, inch = r"(?U)\b\d+/\d+in\b", r"(?U)\b\d+(?:\.\d+)?in\b"
-    rest = F.regexp_replace(c, fraction, " ")
-    last = F.regexp_replace(rest, inch, " ")
-    found = (F.regexp_extract_all(c, F.lit(fraction), F.lit(0)), F.regexp_extract_all(rest, F.lit(inch), F.lit(0)), F.regexp_extract_all(last, F.lit(r"(?U)\d+(?:\.\d+)?"), F.lit(0)))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+    def found(t: Column) -> Column:
+        rest = F.regexp_replace(t, fraction, " ")
+        last = F.regexp_replace(rest, inch, " ")
+        return F.concat(F.regexp_extract_all(t, F.lit(fraction), F.lit(0)), F.regexp_extract_all(rest, F.lit(inch), F.lit(0)), F.regexp_extract_all(last, F.lit(r"(?U)\d+(?:\.\d+)?"), F.lit(0)))
+
+    # an array of one, so that the text is normalised once
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array(normalize_text(c)), found))))
 
 
 def extract_variant(c: Column) -> Column:

@@ -97,14 +97,19 @@ def ambiguous_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     An item that holds all words of a line holds its rarest one, so only items
     that share this word are compared.
     """
-    words = lines.select("line_id", "tenant", text.word_set(F.col("raw_text")).alias("words")).where(F.size("words") > 0)
+    of_line = lines.select("line_id", "tenant", F.array_sort(text.word_set(F.col("raw_text"))).alias("words")).where(F.size("words") > 0)
+    # lines of the same words are asked for once
+    words = of_line.select("tenant", "words").distinct()
     names = active(catalogue).select("tenant", "item_code", text.word_set(F.col("item_name")).alias("name_words"))
     listed = names.select("tenant", "item_code", "name_words", F.explode("name_words").alias("word"))
     often = listed.groupBy("tenant", "word").agg(F.count(F.lit(1)).alias("n"))
-    asked = words.select("line_id", "tenant", "words", F.explode("words").alias("word")).join(often, ["tenant", "word"], "left")
-    rarest = asked.groupBy("line_id", "tenant", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x")).where("x.n > 1").select("line_id", "tenant", "words", F.col("x.word").alias("word"))
-    held = rarest.join(listed, ["tenant", "word"]).where(F.size(F.array_except("words", "name_words")) == 0)
-    return held.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_items")).where("n_items > 1")
+    asked = words.select("tenant", "words", F.explode("words").alias("word")).join(often, ["tenant", "word"], "left")
+    ranked = asked.groupBy("tenant", "words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("x")).where(F.col("x")[0]["n"] > 1)
+    rarest = ranked.select("tenant", "words", F.col("x")[0]["word"].alias("word"), F.transform("x", lambda w: w["word"]).alias("by_rarity"))
+    # words are tried from the rarest on, so most items are passed over at the second
+    held = rarest.join(listed, ["tenant", "word"]).where(F.forall("by_rarity", lambda w: F.array_contains("name_words", w)))
+    counted = held.groupBy("tenant", "words").agg(F.count(F.lit(1)).alias("n_items")).where("n_items > 1")
+    return of_line.join(counted, ["tenant", "words"]).select("line_id", "n_items")
 
 
 def latest_by_key(df: DataFrame, key: str, version: str) -> DataFrame:

@@ -124,24 +124,24 @@ def tenant_health(ledger: Ledger, first: str, last: str, without: tuple[str, ...
 CORRELATED = """
 WITH grouped AS (
     SELECT l.tenant_id, t.plan, l.channel, to_date(l.created_at) AS day, count(DISTINCT l.line_id) AS lines_total, count(DISTINCT l.customer_id) AS distinct_customers
-    FROM order_line l JOIN tenant t ON t.tenant_id = l.tenant_id
-    WHERE to_date(l.created_at) BETWEEN :first AND :last
+    FROM {order_line} l JOIN {tenant} t ON t.tenant_id = l.tenant_id
+    WHERE to_date(l.created_at) BETWEEN CAST(:first AS DATE) AND CAST(:last AS DATE)
     GROUP BY l.tenant_id, t.plan, l.channel, to_date(l.created_at)
 )
 SELECT g.tenant_id, g.plan, g.channel, g.day, g.lines_total,
-    (SELECT count(DISTINCT e.line_id) FROM match_event e JOIN order_line o ON o.line_id = e.line_id
+    (SELECT count(DISTINCT e.line_id) FROM {match_event} e JOIN {order_line} o ON o.line_id = e.line_id
         WHERE e.accepted AND e.tenant_id = g.tenant_id AND o.channel = g.channel AND to_date(o.created_at) = g.day) AS lines_accepted,
-    (SELECT count(*) FROM match_event e JOIN order_line o ON o.line_id = e.line_id
+    (SELECT count(*) FROM {match_event} e JOIN {order_line} o ON o.line_id = e.line_id
         WHERE o.tenant_id = g.tenant_id AND o.channel = g.channel AND to_date(o.created_at) = g.day) AS candidates_considered,
-    (SELECT avg(e.score) FROM match_event e WHERE e.accepted AND e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS avg_accept_score,
-    (SELECT max(e.latency_ms) FROM match_event e WHERE e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS max_latency_ms,
-    (SELECT avg(e.latency_ms) FROM match_event e WHERE e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS avg_latency_ms,
+    (SELECT avg(e.score) FROM {match_event} e WHERE e.accepted AND e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS avg_accept_score,
+    (SELECT max(e.latency_ms) FROM {match_event} e WHERE e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS max_latency_ms,
+    (SELECT avg(e.latency_ms) FROM {match_event} e WHERE e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS avg_latency_ms,
     g.distinct_customers,
-    (SELECT count(DISTINCT e.item_code) FROM match_event e
-        JOIN (SELECT DISTINCT tenant_id, item_code, date_add(to_date(created_at), 1) AS day FROM match_event) p
+    (SELECT count(DISTINCT e.item_code) FROM {match_event} e
+        JOIN (SELECT DISTINCT tenant_id, item_code, date_add(to_date(created_at), 1) AS day FROM {match_event}) p
             ON p.tenant_id = e.tenant_id AND p.item_code = e.item_code AND p.day = to_date(e.created_at)
         WHERE e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS repeat_items_prev_day,
-    (SELECT count(*) FROM match_event e JOIN item i ON i.tenant_id = e.tenant_id AND i.item_code = e.item_code
+    (SELECT count(*) FROM {match_event} e JOIN {item} i ON i.tenant_id = e.tenant_id AND i.item_code = e.item_code
         WHERE i.disabled AND e.accepted AND e.tenant_id = g.tenant_id AND to_date(e.created_at) = g.day) AS accepted_disabled
 FROM grouped g
 ORDER BY g.tenant_id, g.channel, g.day
@@ -150,6 +150,4 @@ ORDER BY g.tenant_id, g.channel, g.day
 
 def correlated(spark: SparkSession, ledger: Ledger, first: str, last: str) -> DataFrame:
     """The report's first 13 columns in its correlated form."""
-    for name, df in ledger.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(CORRELATED.replace(":first", f"date'{first}'").replace(":last", f"date'{last}'"))
+    return spark.sql(CORRELATED, args={"first": first, "last": last}, **ledger)

@@ -93,7 +93,8 @@ def normalize_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.line(spark, sf_dir).select("line_id", F.array_join(text.extract_numbers(text.normalize_text(F.col("raw_text"))), ",").alias("numbers"))
+    lines = models.line(spark, sf_dir).select("line_id", text.normalize_text(F.col("raw_text")).alias("normalized"))
+    return lines.select("line_id", F.array_join(text.extract_numbers(F.col("normalized")), ",").alias("numbers"))
 
 
 @query
