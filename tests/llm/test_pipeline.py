@@ -88,3 +88,21 @@ def test_pipeline_on_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    from test_llm import DOCS, ODD
+
+    rows = [(k, x, "en", None if k % 4 == 0 else "a", None) for k, x in enumerate(ODD)] + [(None, x, None, None, 3) for x in ODD] + [(3, x, "de", "b", 1) for x in ODD[:7]]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("id", "key", "score", "node", "kept", "size", "mix_key", "bucket"):
+        docs = docs.withColumn(name, F.lit("x"))
+    found = {name: stage(spark, docs, sf_dir) for name, stage in corpus_pipeline.STAGES}
+    n = {name: df.count() for name, df in found.items()}
+    assert all(found[name].columns == docs.columns for name, _ in corpus_pipeline.STAGES[:-1])
+    classes = classes_by_force(dict(enumerate(x for _, x, *_ in rows)))
+    assert n["MinHash near-dedup"] == len(set(classes.values())) and n["secret scans"] == len(rows) and n["quality classifier"] <= len(rows)
+    texts = Counter(x for _, x, *_ in rows)
+    assert set(r.text for r in found["mixing sources to target weights"].select("text").collect()) <= set(texts)
+    tokens = sum(len(library_ids("word_bpe_49k.json", x, 1)) * k for x, k in texts.items())
+    assert found["packing"].agg(F.sum("length")).first()[0] == tokens
