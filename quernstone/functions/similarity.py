@@ -8,6 +8,7 @@ the second string updates all states.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -174,6 +175,14 @@ class RatioBlock:
         self.plain = LetterBits(texts) if method in ("w_ratio", "best") else None
         self.distinct = LetterBits([" ".join(x) for x in self.sets.words]) if self.plain else None
 
+    def best(self, query: str, limit: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``TokenBlock.best``, by the block's scorer."""
+        if self.method == "token_set":
+            return self.sets.best(query, limit, sizes)
+        score = self.ratios(query)
+        some = np.flatnonzero(score >= np.partition(score, -limit)[-limit]) if len(score) > limit else np.arange(len(score))
+        return some, score[some]
+
     def ratios(self, query: str) -> np.ndarray:
         if self.method == "token_set":
             return self.sets.ratios(query)
@@ -213,6 +222,9 @@ class TokenBlock:
     bits are masked, which changes no state of the recurrence.  So all texts go
     through it at once, a step for each letter of the query, on whole arrays.
     Texts of more than 64 bits are compared one by one.
+
+    Where only the best texts are asked for, bounds from the words and letters that
+    both have come first, and the recurrence is left to texts that can be among them.
     """
 
     def __init__(self, texts: list[str]):
@@ -224,9 +236,17 @@ class TokenBlock:
         self.own, self.space = np.zeros((most, n), dtype=np.uint64), np.zeros((most, n), dtype=np.uint64)
         self.long = np.array([sum(map(len, x)) + len(x) > 64 for x in self.words], dtype=bool)
         places: dict[str, np.ndarray] = {}
+        holders: dict[str, list[int]] = {}
+        self.counts: dict[str, np.ndarray] = {}
+        self.most_of = np.dtype(np.int16 if all(sum(map(len, x)) < 1 << 15 for x in self.words) else np.int64)
         for k, found in enumerate(self.words):
             at = 0
+            for letter, count in Counter("".join(found)).items():
+                if letter not in self.counts:
+                    self.counts[letter] = np.zeros(n, dtype=self.most_of)
+                self.counts[letter][k] = count
             for j, word in enumerate(found):
+                holders.setdefault(word, []).append(k)
                 self.tokens[j, k] = self.numbers.setdefault(word, len(self.numbers))
                 if not self.long[k]:
                     self.own[j, k], self.space[j, k] = ((1 << (len(word) + 1)) - 1) << at, 1 << at
@@ -237,31 +257,94 @@ class TokenBlock:
                 at += len(word) + 1
             self.sizes[k] = at - len(found)
         self.places = places
+        self.holders = {word: np.array(x, dtype=np.int64) for word, x in holders.items()}
 
-    def ratios(self, query: str) -> np.ndarray:
-        """Token-set ratios of the query with all texts."""
+    def bounds(self, query: str) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest token-set ratios that the texts can have, from the words and letters in common; equal where that says all.
+
+        What is left of two texts without their common words shares at most the
+        letters that the whole texts share, less those of the common words, and a
+        space between each two words.  The formula is that of ``ratios``, so rounding keeps the order.
+        """
         asked, n = sorted(set(query.split())), len(self.words)
+        if not asked or not n:
+            return np.zeros(n), np.zeros(n)
+        common, sect_size, letters = np.zeros(n), np.zeros(n), np.zeros(n, dtype=self.most_of)
+        for word in asked:
+            there = self.holders.get(word)
+            if there is not None:
+                common[there] += 1.0
+                sect_size[there] += float(len(word))
+        for letter, count in Counter("".join(asked)).items():
+            if letter in self.counts:
+                # a sum of letters of a text, so no larger than the text
+                letters += np.minimum(self.counts[letter], self.most_of.type(min(count, np.iinfo(self.most_of).max)))
+        rest_a, rest_b = len(asked) - common, self.n_words - common
+        sect = sect_size + np.maximum(common - 1.0, 0.0)
+        la = sum(map(len, asked)) - sect_size + np.maximum(rest_a - 1.0, 0.0)
+        lb = self.sizes - sect_size + np.maximum(rest_b - 1.0, 0.0)
+        sep = (sect > 0).astype(np.float64)
+        most = letters - sect_size + np.maximum(np.minimum(rest_a, rest_b) - 1.0, 0.0)
+        high = 100.0 - 100.0 * (la + lb - 2.0 * most) / np.maximum(sect + sep + la + sect + sep + lb, 1.0)
+        with_a = 100.0 - 100.0 * (sep + la) / np.maximum(sect + sect + sep + la, 1.0)
+        with_b = 100.0 - 100.0 * (sep + lb) / np.maximum(sect + sect + sep + lb, 1.0)
+        low = np.where(sect > 0, np.maximum(with_a, with_b), 0.0)
+        high = np.maximum(high, low)
+        whole = (common > 0) & ((rest_a == 0) | (rest_b == 0))
+        low[whole] = high[whole] = 100.0
+        low[self.n_words == 0] = high[self.n_words == 0] = 0.0
+        return low, high
+
+    def best(self, query: str, limit: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and ratios of all texts that reach the ratio at which the best ones, each with its size, fill ``limit``; all texts, if they do not."""
+        low, high = self.bounds(query)
+        if len(low) <= limit:
+            return np.arange(len(low)), self.ratios(query)
+
+        def reached() -> np.ndarray:
+            first = np.argpartition(-low, limit - 1)[:limit]
+            first = first[np.argsort(-low[first])]
+            least = low[first[np.searchsorted(np.cumsum(sizes[first]), limit)]]
+            return np.flatnonzero(high >= least)
+
+        some = reached()
+        unsure = some[high[some] > low[some]]
+        if len(unsure) > 2 * limit:
+            # the likeliest first: they raise what the others have to reach
+            first = unsure[np.argpartition(-high[unsure], limit - 1)[:limit]]
+            low[first] = high[first] = self.ratios(query, first)
+            some = reached()
+            unsure = some[high[some] > low[some]]
+        if len(unsure):
+            low[unsure] = self.ratios(query, unsure)
+        return some, low[some]
+
+    def ratios(self, query: str, some: np.ndarray | None = None) -> np.ndarray:
+        """Token-set ratios of the query with all texts, or with some."""
+        places = range(len(self.words)) if some is None else some
+        tokens, owns, spaces, n_words, sizes = (x if some is None else x[..., some] for x in (self.tokens, self.own, self.space, self.n_words, self.sizes))
+        asked, n = sorted(set(query.split())), len(places)
         if not asked or not n:
             return np.zeros(n)
         everything, nothing = np.uint64(2**64 - 1), np.uint64(0)
         common, sect_size, bits = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n, dtype=np.uint64)
-        of_text, theirs = np.zeros(self.tokens.shape, dtype=bool), []
+        of_text, theirs = np.zeros(tokens.shape, dtype=bool), []
         for word in asked:
             number = self.numbers.get(word)
             if number is None:
                 theirs.append(None)
                 continue
-            hit = self.tokens == number
+            hit = tokens == number
             there = hit.any(axis=0)
             of_text |= hit
             common += there
             sect_size += there * float(len(word))
             theirs.append(there)
-        for own, hit in zip(self.own, of_text):
+        for own, hit in zip(owns, of_text):
             bits |= np.where(hit, nothing, own)
         # the first word that is left has no space before it
-        if len(self.space):
-            bits &= ~np.take_along_axis(self.space, np.argmin(of_text, axis=0)[None], axis=0)[0]
+        if len(spaces):
+            bits &= ~np.take_along_axis(spaces, np.argmin(of_text, axis=0)[None], axis=0)[0]
         state, first = np.full(n, everything), np.full(n, True)
         u, rise = np.empty(n, dtype=np.uint64), np.empty(n, dtype=np.uint64)
         for word, there in zip(asked, theirs):
@@ -270,27 +353,27 @@ class TokenBlock:
                 where = self.places.get(letter)
                 if where is None:
                     continue
-                np.bitwise_and(state, where, out=u)
+                np.bitwise_and(state, where if some is None else where[some], out=u)
                 np.bitwise_and(u, np.where(first, nothing, mask) if letter == " " else mask, out=u)
                 np.add(state, u, out=rise)
                 np.subtract(state, u, out=state)
                 np.bitwise_or(state, rise, out=state)
             first &= there if there is not None else False
         same = np.bitwise_count(~state & bits).astype(np.float64)
-        rest_a, rest_b = len(asked) - common, self.n_words - common
+        rest_a, rest_b = len(asked) - common, n_words - common
         sect = sect_size + np.maximum(common - 1, 0)
         la = sum(map(len, asked)) - sect_size + np.maximum(rest_a - 1, 0)
-        lb = self.sizes - sect_size + np.maximum(rest_b - 1, 0)
+        lb = sizes - sect_size + np.maximum(rest_b - 1, 0)
         sep = (sect > 0).astype(np.float64)
         plain = 100.0 - 100.0 * (la + lb - 2.0 * same) / np.maximum(sect + sep + la + sect + sep + lb, 1.0)
         with_a = 100.0 - 100.0 * (sep + la) / np.maximum(sect + sect + sep + la, 1.0)
         with_b = 100.0 - 100.0 * (sep + lb) / np.maximum(sect + sect + sep + lb, 1.0)
         out = np.where(sect > 0, np.maximum(plain, np.maximum(with_a, with_b)), plain)
         out[(common > 0) & ((rest_a == 0) | (rest_b == 0))] = 100.0
-        out[self.n_words == 0] = 0.0
-        long = np.flatnonzero(self.long)
+        out[n_words == 0] = 0.0
+        long = np.flatnonzero(self.long if some is None else self.long[some])
         if len(long):
-            out[long] = token_set_ratios([asked] * len(long), [self.words[k] for k in long])
+            out[long] = token_set_ratios([asked] * len(long), [self.words[places[k]] for k in long])
         return out
 
 

@@ -132,3 +132,26 @@ def test_generators_are_deterministic(spark):
     ledger = generators.ledger(spark, 200, tenants=5, items=20, days=10)
     assert ledger["order_line"].count() == 200 and ledger["match_event"].count() > 600
     assert ledger["match_event"].join(ledger["order_line"], "line_id", "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_bounds_leave_most_texts_out_and_no_best_one(size):
+    """The best texts, each with its size, by bounds first: as of all ratios, with few recurrences."""
+    import numpy as np
+
+    words = ["m8", "m10", "hex", "bolt", "brass", "zinc", "nut", "50mm", "75mm", "große", "x" * 70, "ab", "ba"]
+    rng = np.random.default_rng(size)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 6))) for _ in range(400)]
+    block, sizes = similarity.TokenBlock(texts), rng.integers(1, size + 1, len(texts))
+    asked, plain = [], block.ratios
+    block.ratios = lambda query, some=None: (asked.append(len(texts) if some is None else len(some)), plain(query, some))[1]
+    queries = [*texts[:60], "hex bolt unknown", "", "bolts heX", "ab ba ab", "qqq"]
+    for query in queries:
+        every, (low, high) = plain(query), block.bounds(query)
+        assert (low <= every).all() and (every <= high).all()
+        some, got = block.best(query, 30, sizes)
+        assert got.tolist() == every[some].tolist()
+        order = np.argsort(-every, kind="stable")
+        least = every[order[np.searchsorted(np.cumsum(sizes[order]), 30)]]
+        assert set(np.flatnonzero(every >= least)) <= set(some)
+    assert sum(asked) < len(queries) * len(texts) / 2
