@@ -155,3 +155,9 @@ def test_bounds_leave_most_texts_out_and_no_best_one(size):
         least = every[order[np.searchsorted(np.cumsum(sizes[order]), 30)]]
         assert set(np.flatnonzero(every >= least)) <= set(some)
     assert sum(asked) < len(queries) * len(texts) / 2
+
+
+def test_filled_is_what_stripping_leaves(spark):
+    rows = spark.createDataFrame([(x,) for x in (None, "", " ", "　 ", " a", "\n", "\n\n", "a\n", "0", "\x1c", "​")], "t string")
+    got = rows.select(text.filled(F.col("t")).alias("f"), (text.strip(F.coalesce("t", F.lit(""))) != "").alias("w")).collect()
+    assert [r.f for r in got] == [r.w for r in got]
