@@ -235,7 +235,7 @@ class TokenBlock:
         self.n_words = np.array([len(x) for x in self.words], dtype=np.int64)
         self.own, self.space = np.zeros((most, n), dtype=np.uint64), np.zeros((most, n), dtype=np.uint64)
         self.long = np.array([sum(map(len, x)) + len(x) > 64 for x in self.words], dtype=bool)
-        places: dict[str, np.ndarray] = {}
+        masks: dict[str, list[int]] = {}
         holders: dict[str, list[int]] = {}
         self.counts: dict[str, np.ndarray] = {}
         self.caps: dict[tuple[str, int], np.ndarray] = {}
@@ -252,12 +252,12 @@ class TokenBlock:
                 if not self.long[k]:
                     self.own[j, k], self.space[j, k] = ((1 << (len(word) + 1)) - 1) << at, 1 << at
                     for i, letter in enumerate(f" {word}"):
-                        if letter not in places:
-                            places[letter] = np.zeros(n, dtype=np.uint64)
-                        places[letter][k] |= np.uint64(1 << (at + i))
+                        if letter not in masks:
+                            masks[letter] = [0] * n
+                        masks[letter][k] |= 1 << (at + i)
                 at += len(word) + 1
             self.sizes[k] = at - len(found)
-        self.places = places
+        self.places = {letter: np.array(x, dtype=np.uint64) for letter, x in masks.items()}
         self.spaces = np.maximum(self.n_words - 1.0, 0.0)
         self.spelt = self.sizes + self.spaces
         self.holders = {word: np.array(x, dtype=np.int64) for word, x in holders.items()}

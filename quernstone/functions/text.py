@@ -70,11 +70,8 @@ def extract_numbers(c: Column) -> Column:
 
 def extract_variant(c: Column) -> Column:
     """The first variant in order of rank that is among the text's words, or null."""
-    words = F.split(normalize_text(c), " ")
-    out = F.lit(None).cast("string")
-    for name in reversed(VARIANTS):
-        out = F.when(F.array_contains(words, name), F.lit(name)).otherwise(out)
-    return out
+    # one test for all, so that the text is normalised once
+    return F.get(F.array_intersect(F.array(*map(F.lit, VARIANTS)), F.split(normalize_text(c), " ")), F.lit(0))
 
 
 def filled(c: Column) -> Column:

@@ -8,28 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import shared_folder
+from ..cluster import new_path, shared_folder, written
 
 #: The white space that separates words, as a regular expression of its complement.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, tables: list | None = None) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here and lost executors cost no rework.
-
-    With ``tables`` it is noted there, for ``drop_tables`` once nothing reads it any more.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if tables is not None:
-        tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_tables(spark: SparkSession, tables: list[str]) -> None:
     """Delete tables noted by ``written``; the list is empty afterwards."""
     while tables:
