@@ -175,6 +175,10 @@ class RatioBlock:
         self.plain = LetterBits(texts) if method in ("w_ratio", "best") else None
         self.distinct = LetterBits([" ".join(x) for x in self.sets.words]) if self.plain else None
 
+    def best_of(self, queries: list[str], limit: int, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``TokenBlock.best_of``, by the block's scorer."""
+        return self.sets.best_of(queries, limit, sizes) if self.method == "token_set" else [self.best(x, limit, sizes) for x in queries]
+
     def best(self, query: str, limit: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``TokenBlock.best``, by the block's scorer."""
         if self.method == "token_set":
@@ -257,7 +261,11 @@ class TokenBlock:
                         masks[letter][k] |= 1 << (at + i)
                 at += len(word) + 1
             self.sizes[k] = at - len(found)
-        self.places = {letter: np.array(x, dtype=np.uint64) for letter, x in masks.items()}
+        # the last row is of letters that no text has
+        self.rows, self.table = {letter: k for k, letter in enumerate(masks)}, np.zeros((len(masks) + 1, n), dtype=np.uint64)
+        for k, letter in enumerate(masks):
+            self.table[k] = masks[letter]
+        self.places = {letter: self.table[k] for letter, k in self.rows.items()}
         self.spaces = np.maximum(self.n_words - 1.0, 0.0)
         self.spelt = self.sizes + self.spaces
         self.holders = {word: np.array(x, dtype=np.int64) for word, x in holders.items()}
@@ -311,11 +319,14 @@ class TokenBlock:
 
     def best(self, query: str, limit: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and ratios of all texts that reach the ratio at which the best ones, each with its size, fill ``limit``; all texts, if they do not."""
-        low, high = self.bounds(query)
-        if len(low) <= limit:
-            return np.arange(len(low)), self.ratios(query)
+        return self.best_of([query], limit, sizes)[0]
+
+    def best_of(self, queries: list[str], limit: int, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``best`` of each query; what is unsure goes through the recurrence for all queries at once."""
+        if len(self.words) <= limit:
+            return [(np.arange(len(self.words)), self.ratios(x)) for x in queries]
 
-        def reached() -> np.ndarray:
+        def reached(low: np.ndarray, high: np.ndarray) -> np.ndarray:
             first = np.flatnonzero(low > 0)
             if len(first) < limit:
                 first = np.arange(len(low))
@@ -324,17 +335,103 @@ class TokenBlock:
             least = low[first[np.searchsorted(np.cumsum(sizes[first]), limit)]]
             return np.flatnonzero(high >= least)
 
-        some = reached()
-        unsure = some[high[some] > low[some]]
-        if len(unsure) > 2 * limit:
-            # the likeliest first: they raise what the others have to reach
-            first = unsure[np.argpartition(-high[unsure], limit - 1)[:limit]]
-            low[first] = high[first] = self.ratios(query, first)
-            some = reached()
-            unsure = some[high[some] > low[some]]
-        if len(unsure):
-            low[unsure] = self.ratios(query, unsure)
-        return some, low[some]
+        def settle(at: list[int], places: list[np.ndarray]) -> None:
+            for k, some, score in zip(at, places, self.pairs([queries[k] for k in at], places)):
+                low, high = limits[k]
+                low[some] = high[some] = score
+
+        limits = [self.bounds(x) for x in queries]
+        found = [reached(*x) for x in limits]
+        unsure = [some[high[some] > low[some]] for some, (low, high) in zip(found, limits)]
+        # the likeliest first: they raise what the others have to reach
+        many = [k for k, x in enumerate(unsure) if len(x) > 2 * limit]
+        settle(many, [unsure[k][np.argpartition(-limits[k][1][unsure[k]], limit - 1)[:limit]] for k in many])
+        for k in many:
+            low, high = limits[k]
+            found[k] = reached(low, high)
+            unsure[k] = found[k][high[found[k]] > low[found[k]]]
+        some = [k for k, x in enumerate(unsure) if len(x)]
+        settle(some, [unsure[k] for k in some])
+        return [(some, low[some]) for some, (low, _) in zip(found, limits)]
+
+    def pairs(self, queries: list[str], places: list[np.ndarray]) -> list[np.ndarray]:
+        """``ratios`` of each query with its places.  Pairs of several queries share the steps of the recurrence, a step for each letter of the longest."""
+        out, at = [], 0
+        while at < len(queries):
+            end, room = at, 0
+            # bounded arrays: a pair takes its text's words times the query's
+            while end < len(queries) and (end == at or room + len(places[end]) <= 16384) and len(queries[end]) <= 128:
+                room += len(places[end])
+                end += 1
+            if end > at and room <= 32768 and any(map(str.split, queries[at:end])):
+                out.extend(self._pairs(queries[at:end], places[at:end]))
+            else:
+                end = max(end, at + 1)
+                out.extend(self.ratios(x, some) for x, some in zip(queries[at:end], places[at:end]))
+            at = end
+        return out
+
+    def _pairs(self, queries: list[str], places: list[np.ndarray]) -> list[np.ndarray]:
+        asked = [sorted(set(x.split())) for x in queries]
+        counts = [len(x) for x in places]
+        of, some = np.repeat(np.arange(len(queries)), counts), np.concatenate(places)
+        n, most = len(some), max(map(len, asked))
+        numbers = np.full((len(asked), most), -2, dtype=np.int32)
+        steps = max(sum(map(len, x)) + len(x) for x in asked)
+        # of each step its letter, and its word; an odd row of masks is that of a space
+        letters, masked = np.full((steps, len(asked)), len(self.rows), dtype=np.int64), np.zeros((steps, len(asked)), dtype=np.int64)
+        for k, words in enumerate(asked):
+            step = 0
+            for j, word in enumerate(words):
+                numbers[k, j] = self.numbers.get(word, -2)
+                for i, letter in enumerate(f" {word}"):
+                    letters[step, k], masked[step, k] = self.rows.get(letter, len(self.rows)), 2 * j + (i == 0)
+                    step += 1
+        nothing, n_words = np.uint64(0), np.fromiter(map(len, asked), np.int64, len(asked))[of]
+        theirs = numbers[of].T
+        hit = self.tokens[:, some][:, None, :] == theirs[None]
+        of_text, there = hit.any(axis=1), hit.any(axis=0)
+        bits = np.zeros(n, dtype=np.uint64)
+        for own, gone in zip(self.own[:, some], of_text):
+            bits |= np.where(gone, nothing, own)
+        # the first word that is left has no space before it
+        bits &= ~np.take_along_axis(self.space[:, some], np.argmin(of_text, axis=0)[None], axis=0)[0]
+        masks, first = np.empty((2 * most, n), dtype=np.uint64), np.full(n, True)
+        for j in range(most):
+            masks[2 * j] = np.where(there[j], nothing, bits)
+            masks[2 * j + 1] = np.where(first, nothing, masks[2 * j])
+            first &= there[j]
+        state, each = np.full(n, np.uint64(2**64 - 1)), np.arange(n)
+        flat_table, flat_masks, width = self.table.ravel(), masks.ravel(), self.table.shape[1]
+        for letter, mask in zip(letters * width, masked * n):
+            u = flat_table.take(letter[of] + some)
+            u &= flat_masks.take(mask[of] + each)
+            u &= state
+            rise = state + u
+            state -= u
+            state |= rise
+        same = np.bitwise_count(~state & bits).astype(np.float64)
+        lengths = np.array([[float(len(x)) for x in words] + [0.0] * (most - len(words)) for words in asked])
+        common, sect_size = there.sum(axis=0), (there * lengths[of].T).sum(axis=0)
+        rest_a, rest_b = n_words - common, self.n_words[some] - common
+        sect = sect_size + np.maximum(common - 1, 0)
+        la = lengths.sum(axis=1)[of] - sect_size + np.maximum(rest_a - 1, 0)
+        lb = self.sizes[some] - sect_size + np.maximum(rest_b - 1, 0)
+        out = self._of_parts(same, sect, la, lb)
+        out[(common > 0) & ((rest_a == 0) | (rest_b == 0))] = 100.0
+        out[(self.n_words[some] == 0) | (n_words == 0)] = 0.0
+        long = np.flatnonzero(self.long[some])
+        if len(long):
+            out[long] = token_set_ratios([asked[of[k]] for k in long], [self.words[some[k]] for k in long])
+        return np.split(out, np.cumsum(counts)[:-1])
+
+    @staticmethod
+    def _of_parts(same: np.ndarray, sect: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+        sep = (sect > 0).astype(np.float64)
+        plain = 100.0 - 100.0 * (la + lb - 2.0 * same) / np.maximum(sect + sep + la + sect + sep + lb, 1.0)
+        with_a = 100.0 - 100.0 * (sep + la) / np.maximum(sect + sect + sep + la, 1.0)
+        with_b = 100.0 - 100.0 * (sep + lb) / np.maximum(sect + sect + sep + lb, 1.0)
+        return np.where(sect > 0, np.maximum(plain, np.maximum(with_a, with_b)), plain)
 
     def ratios(self, query: str, some: np.ndarray | None = None) -> np.ndarray:
         """Token-set ratios of the query with all texts, or with some."""
@@ -381,11 +478,7 @@ class TokenBlock:
         sect = sect_size + np.maximum(common - 1, 0)
         la = sum(map(len, asked)) - sect_size + np.maximum(rest_a - 1, 0)
         lb = sizes - sect_size + np.maximum(rest_b - 1, 0)
-        sep = (sect > 0).astype(np.float64)
-        plain = 100.0 - 100.0 * (la + lb - 2.0 * same) / np.maximum(sect + sep + la + sect + sep + lb, 1.0)
-        with_a = 100.0 - 100.0 * (sep + la) / np.maximum(sect + sect + sep + la, 1.0)
-        with_b = 100.0 - 100.0 * (sep + lb) / np.maximum(sect + sect + sep + lb, 1.0)
-        out = np.where(sect > 0, np.maximum(plain, np.maximum(with_a, with_b)), plain)
+        out = self._of_parts(same, sect, la, lb)
         out[(common > 0) & ((rest_a == 0) | (rest_b == 0))] = 100.0
         out[n_words == 0] = 0.0
         long = np.flatnonzero(self.long if some is None else self.long[some])

@@ -161,3 +161,20 @@ def test_filled_is_what_stripping_leaves(spark):
     rows = spark.createDataFrame([(x,) for x in (None, "", " ", "　 ", " a", "\n", "\n\n", "a\n", "0", "\x1c", "​")], "t string")
     got = rows.select(text.filled(F.col("t")).alias("f"), (text.strip(F.coalesce("t", F.lit(""))) != "").alias("w")).collect()
     assert [r.f for r in got] == [r.w for r in got]
+
+
+def test_the_best_of_several_queries_at_once():
+    import numpy as np
+
+    from quernstone.functions.similarity import SCORERS, TokenBlock
+
+    texts = [f"brand {k % 7} {a} ring {k}mm" for k in range(40) for a in ("old", "new", "blue", "steel")] + ["", "a" * 70 + " brand", "é ü"]
+    queries = ["brand 3 old ring 5mm", "", "zzz", "x" * 200, "steel ring 12mm x12 ctn", " ".join(f"w{k}" for k in range(90)), "é brand", "ring ring"]
+    block, sizes = TokenBlock(texts), np.array([1 + k % 3 for k in range(len(texts))])
+    for limit in (1, 5, 30):
+        for query, (some, score) in zip(queries, block.best_of(queries, limit, sizes), strict=True):
+            whole = SCORERS["token_set"]([query] * len(texts), texts)
+            order = np.argsort(-whole, kind="stable")
+            least = whole[order[np.searchsorted(np.cumsum(sizes[order]), limit)]]
+            got = dict(zip(some.tolist(), score.tolist()))
+            assert {k: round(x, 9) for k, x in got.items() if x >= least} == {k: round(x, 9) for k, x in enumerate(whole.tolist()) if x >= least}
